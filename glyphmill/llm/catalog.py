@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import suffix_array
+from . import suffix_array, suffix_tree
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,3 +33,10 @@ islands AS (
 SELECT doc_id, min(k) AS start_word, count(*) + 49 AS n_words, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END)::BIGINT AS n_later
 FROM islands GROUP BY doc_id, island
 """
+
+
+def op7_substring_dedup(spark, sf_dir):
+    return suffix_tree.maximal_repeats(_docs(spark, sf_dir), threshold=50)
+
+
+QUERIES["op7_substring_dedup"] = op7_substring_dedup
