@@ -26,7 +26,7 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
-def bucket_bits(df: DataFrame, records_each: int = 1 << 20) -> int:
+def bucket_bits(df: DataFrame, records_each: int = 1 << 18) -> int:
     """Bits that number the buckets, from the bytes of all texts."""
     n = df.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     return max(2, math.ceil(math.log2(max(1, n / 5 / records_each))))

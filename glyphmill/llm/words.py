@@ -7,18 +7,36 @@ cost per word doesn't depend on the window's length.
 
 from __future__ import annotations
 
+import ctypes
+import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _M, _MINV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _W, _WINV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
 
+def settle() -> None:
+    """Once a Python worker: freed arrays go back to the system, as many workers share an executor's memory."""
+    if os.environ.get("GLYPHMILL_SETTLED") != str(os.getpid()):
+        os.environ["GLYPHMILL_SETTLED"] = str(os.getpid())
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-8, 1)  # M_ARENA_MAX
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
@@ -61,6 +79,7 @@ class Words:
     """hashes, byte starts and ends of all words of a batch of texts; first[k]:first[k+1] are those of text k."""
 
     def __init__(self, column: pa.Array, fold: np.ndarray | None = None, separator: np.ndarray = SEPARATOR):
+        settle()
         data, at = buffers(column)
         lo, hi = int(at[0]), int(at[-1])
         data, at = data[lo:hi], at - lo
@@ -107,9 +126,9 @@ def window_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return out
 
 
-def chunks(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
+def chunks(batch: pa.RecordBatch, column: int, most: int = 3 << 20):
     """Slices of a batch of at most so many bytes of text, whole rows each."""
-    _, at = buffers(batch.column(column))
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     k = 0
     while k < batch.num_rows:
         stop = max(k + 1, int(np.searchsorted(at, at[k] + most, "right")) - 1)
@@ -118,4 +137,5 @@ def chunks(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
 
 
 def gather(blobs: list[bytes], kind) -> np.ndarray:
+    settle()
     return np.concatenate([np.frombuffer(b, kind) for b in blobs]) if blobs else np.zeros(0, kind)
