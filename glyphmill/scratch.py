@@ -52,7 +52,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        with _conf(self.spark, {CLEANUP: "true", "spark.sql.parquet.compression.codec": "zstd"}):
+        with _conf(self.spark, {CLEANUP: "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
