@@ -19,7 +19,7 @@ def op1_suffix_array_dedup(spark, sf_dir):
 QUERIES["op1_suffix_array_dedup"] = op1_suffix_array_dedup
 ORACLE_SQL["op1_suffix_array_dedup"] = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t-\r ]+'), x -> x <> '') AS w
+  SELECT doc_id, regexp_extract_all(text, '[^\t-\r ]+') AS w
   FROM documents WHERE text IS NOT NULL),
 windows AS (
   SELECT doc_id, k - 1 AS k, md5(array_to_string(w[k:k + 49], ' ')) AS g
@@ -49,16 +49,16 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 QUERIES["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
 ORACLE_SQL["op10_ngram_jaccard_join"] = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t-\r ]+'), x -> x <> '') AS w
+  SELECT doc_id, regexp_extract_all(text, '[^\t-\r ]+') AS w
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 grams AS (
   SELECT DISTINCT doc_id, w[k:k + 2] AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS k FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-overlaps AS (
+counted AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
   FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap)::DOUBLE AS jaccard
-FROM overlaps JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+FROM counted JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
 WHERE overlap / (x.n + y.n - overlap)::DOUBLE >= 0.5
 """
