@@ -1,28 +1,33 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 Suffixes are split by their first `threshold` words; those whose prefix is
-unique can't lie under a node that deep and are left out.  What follows the
-prefix is read only where the tree can branch: between branch points all
+unique can't lie under a node that deep and are left out, as are prefixes that
+the same word always precedes, as their repeats begin further left.  What follows
+a prefix is read only where the tree can branch: between branch points all
 suffixes of a node go on alike, so a suffix is the list of the edges it takes.
-A prefix with many long suffixes is extended: edges 5-12, 13-28, ... of a
-suffix go to the subtree of its longer prefix, so every group stays small.
-A subtree is built top-down; the parent of a leaf is the longest repeat there.
+Prefixes whose first occurrences lie in one place form a group, which gets the
+edges of each run of repeated words once for all suffixes in it; a prefix with
+very many suffixes is a group of its own.  A subtree is built top-down; the
+parent of a leaf is the longest repeat there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .blobs import STREAM, at_home, bucket_bits, by_bucket, gather, positions, repeated, rows, runs, split, texts
-from .words import _W, _WINV, U, mix, span_sums
+from .words import U, mix
 
-FIRST_EDGES = 4
+CROWD = 50_000
+PLACE = 12
 NEIGHBOURS = np.dtype([("before", np.int64), ("after", np.int64)])
-SUFFIX = np.dtype([("key", U), ("before", np.int64), ("edges", np.int32)])
+MARK = np.dtype([("flags", np.uint8), ("group", U)])
+SUFFIX = np.dtype([("key", U), ("before", np.int64), ("edge", np.int32), ("end", np.int32)])
 EDGE = np.dtype([("name", np.int64), ("at", np.int32)])
 LEAF = np.dtype([("node", np.int64), ("words", np.int64), ("copies", np.int64)])
 
@@ -37,70 +42,69 @@ def _neighbours(table: pa.Table) -> pa.Table:
     return by_bucket(table["chunk"][0].as_py(), name, pos=pos.astype(np.uint32), b=values)
 
 
-def _diverse(cls: np.ndarray, value: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _diverse(value: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     low, high = np.minimum.reduceat(value, first), np.maximum.reduceat(value, first)
     return np.repeat((low < 0) | (low != high), count)
 
 
 def _branching(table: pa.Table) -> pa.Table:
-    """Of a range of prefix classes: 1 for suffixes whose class is preceded by different words, 2 where it goes on differently."""
+    """Of a range of prefix classes: 1 for suffixes whose class is preceded by different words, 2 where it goes on differently; the class's group."""
     pos = table["pos"].to_pylist()
     sizes = np.array([len(p) // 4 for p in pos])
     rank, near = gather(table["a"].to_pylist(), np.uint32), gather(table["b"].to_pylist(), NEIGHBOURS)
     order = np.argsort(rank, kind="stable")
     first, count = runs(rank[order])
-    flags = np.zeros(len(rank), np.uint8)
-    flags[order] = _diverse(rank, near["before"][order], first, count) + 2 * _diverse(rank, near["after"][order], first, count).astype(np.uint8)
-    return split(table, flags > 0, sizes, pos=gather(pos, np.uint32), b=flags)
+    at = gather(pos, np.uint32)
+    place = (np.repeat(np.array(table["chunk"], np.int64), sizes) << (32 - PLACE)) | (at >> np.uint32(PLACE))
+    group = mix(np.minimum.reduceat(place[order], first).astype(U))
+    crowd = count > CROWD
+    group[crowd] = mix(group[crowd] ^ rank[order[first[crowd]]].astype(U))
+    mark = np.zeros(len(rank), MARK)
+    mark["flags"][order] = _diverse(near["before"][order], first, count) + 2 * _diverse(near["after"][order], first, count).astype(np.uint8)
+    mark["group"][order] = np.repeat(group, count)
+    return split(table, mark["flags"] > 0, sizes, pos=at, b=mark)
 
 
 def _suffixes(bits: int):
-    """At a chunk: suffixes of left-branching classes with the edges they take, by the hash of their prefix."""
+    """At a chunk: suffixes of left-branching classes by group, with the edges of their runs."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
-        mark = table["a"].is_null() if isinstance(table["a"], pa.Array) else pa.compute.is_null(table["a"])
-        flagged, plain = table.filter(mark), table.filter(pa.compute.invert(mark))
+        marked = pc.is_null(table["a"])
+        flagged, plain = table.filter(marked), table.filter(pc.invert(marked))
         pos, name, _ = at_home(plain)
-        at = gather(flagged["pos"].to_pylist(), np.uint32)
-        flags = np.zeros(len(pos), np.uint8)
-        flags[np.searchsorted(pos, at)] = gather(flagged["b"].to_pylist(), np.uint8)
+        mark = np.zeros(len(pos), MARK)
+        mark[np.searchsorted(pos, gather(flagged["pos"].to_pylist(), np.uint32))] = gather(flagged["b"].to_pylist(), MARK)
         joined = pos[1:] == pos[:-1] + 1
         last = np.append(np.flatnonzero(~joined), len(pos) - 1) if len(pos) else np.zeros(0, np.int64)
-        left, right = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
-        before = np.full(len(pos), -1, np.int64)
+        left, right = np.flatnonzero(mark["flags"] & 1), np.flatnonzero(mark["flags"] & 2)
+        if not len(left):
+            return pa.Table.from_batches([rows([])])
+        before, after = np.full(len(pos), -1, np.int64), np.full(len(pos), -1, np.int64)
         before[1:][joined] = name[:-1][joined]
-        after = np.full(len(pos), -1, np.int64)
         after[:-1][joined] = name[1:][joined]
-        low = np.searchsorted(right, left)
-        high = np.searchsorted(right, last[np.searchsorted(last, left)], "right")
-        edge_names = after[right]
-        own = edge_names < 0  # a unique way on equals no other
-        edge_names[own] = -1 - mix(pos[right][own].astype(U) ^ mix(np.array([chunk + (1 << 50)]).astype(U))).astype(np.int64).__abs__() if own.any() else 0
-        values = mix(edge_names.astype(U))
-        out, start, size = [], 0, FIRST_EDGES
-        while len(left):
-            stop = np.minimum(low + start + size, high)
-            key = mix(name[left].astype(U)) ^ span_sums(values, low, low + start, _W, _WINV) if len(values) else mix(name[left].astype(U))
-            number = (stop - low - start).astype(np.int64)
-            total = int(number.sum())
-            take = np.arange(total) - np.repeat(np.cumsum(number) - number, number) + np.repeat(low + start, number)
-            edges = np.empty(total, EDGE)
-            edges["name"], edges["at"] = edge_names[take], pos[right[take]] - np.repeat(pos[left], number)
-            suffix = np.empty(len(left), SUFFIX)
-            suffix["key"], suffix["before"], suffix["edges"] = key, before[left], number
-            bucket = (key >> U(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            begin, count = runs(bucket[order])
+        edges = np.empty(len(right), EDGE)
+        edges["name"], edges["at"] = after[right], pos[right]
+        single = edges["name"] < 0  # a unique way on equals no other
+        edges["name"][single] = -1 - (mix(pos[right[single]].astype(U) ^ mix(np.array([chunk]).astype(U))) >> U(2)).astype(np.int64)
+        which = np.searchsorted(last, left)
+        low, high = np.searchsorted(right, left), np.searchsorted(right, last[which], "right")
+        group = mark["group"][left]
+        order = np.lexsort((left, which, group))
+        out = []
+        bucket = (group >> U(64 - bits)).astype(np.int64)
+        begin, count = runs(bucket[order])
+        for x, n in zip(begin.tolist(), count.tolist()):
+            mine = order[x : x + n]
+            head, size = runs(group[mine], which[mine])
+            lo, hi = low[mine[head]], high[mine[head]]
+            number = hi - lo
             offset = np.cumsum(number) - number
-            for x, n in zip(begin.tolist(), count.tolist()):
-                mine = order[x : x + n]
-                m = number[mine]
-                which = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(offset[mine], m)
-                out.append({"chunk": chunk, "bucket": int(bucket[mine[0]]), "pos": pos[left[mine]].astype(np.uint32).tobytes(), "a": suffix[mine].tobytes(), "b": edges[which].tobytes()})
-            start, size = start + size, size * 2
-            more = high > low + start
-            left, low, high = left[more], low[more], high[more]
+            take = np.arange(int(number.sum())) + np.repeat(lo - offset, number)
+            suffix = np.empty(n, SUFFIX)
+            suffix["key"], suffix["before"] = mix(name[left[mine]].astype(U)), before[left[mine]]
+            suffix["edge"], suffix["end"] = low[mine] + np.repeat(offset - lo, size), np.repeat(offset + number, size)
+            out.append({"chunk": chunk, "bucket": int(bucket[mine[0]]), "pos": pos[left[mine]].astype(np.uint32).tobytes(), "a": suffix.tobytes(), "b": edges[take].tobytes()})
         return pa.Table.from_batches([rows(out)])
 
     return run
@@ -121,13 +125,16 @@ def _trees(threshold: int):
         pos = table["pos"].to_pylist()
         sizes = np.array([len(p) // 4 for p in pos])
         suffix, edges = gather(table["a"].to_pylist(), SUFFIX), gather(table["b"].to_pylist(), EDGE)
-        start = np.cumsum(suffix["edges"]) - suffix["edges"]
+        edge_sizes = np.array([len(b) // EDGE.itemsize for b in table["b"].to_pylist()])
+        shift = np.repeat(np.cumsum(edge_sizes) - edge_sizes, sizes)
+        start, end = suffix["edge"] + shift, suffix["end"] + shift
+        at = gather(pos, np.uint32)
         leaf, keep = np.zeros(len(suffix), LEAF), np.zeros(len(suffix), bool)
         live, node, depth = np.arange(len(suffix)), suffix["key"].copy(), 0
         count = _counts(node)
         live, node, count = live[count > 1], node[count > 1], count[count > 1]
         while len(live):
-            go = suffix["edges"][live] > depth  # where none is left, the longer prefix's group goes on
+            go = start[live] + depth < end[live]
             live, node, count = live[go], node[go], count[go]
             if not len(live):
                 break
@@ -140,9 +147,9 @@ def _trees(threshold: int):
             found = ends & ((before < 0) | ~alike)
             done = live[found]
             keep[done] = True
-            leaf["node"][done], leaf["words"][done], leaf["copies"][done] = node[found].astype(np.int64), threshold + edge["at"][found], count[found]
+            leaf["node"][done], leaf["words"][done], leaf["copies"][done] = node[found].astype(np.int64), threshold + edge["at"][found] - at[done].astype(np.int64), count[found]
             live, node, count, depth = live[~ends], below[~ends], size[~ends], depth + 1
-        return split(table, keep, sizes, pos=gather(pos, np.uint32), b=leaf)
+        return split(table, keep, sizes, pos=at, b=leaf)
 
     return run
 
