@@ -201,14 +201,16 @@ class _Join:
         own = texts(docs, id_col, text_col).filter("_id is not null and _text is not null")
         self.scratch = Scratch(docs.sparkSession)
         same = own.groupBy(F.xxhash64("_text").alias("_key"), F.hash("_text").alias("_h"), F.length("_text").alias("_l"))
-        self.classes = self.scratch.table(same.agg(F.first("_text").alias("_text"), F.array_sort(F.collect_set("_id")).alias("_ids")).filter(F.col("_text").rlike("[^\\t-\\r ]")), "texts")
-        self.n, self.least = n, least
-        self.bits = bucket_bits(self.classes)
+        texts_of = self.scratch.table(same.agg(F.first("_text").alias("_text"), F.array_sort(F.collect_set("_id")).alias("_ids")).filter(F.col("_text").rlike("[^\\t-\\r ]")), "texts")
+        self.ids = self.scratch.table(texts_of.select("_key", "_ids"), "ids")
+        self.least, self.bits = least, bucket_bits(texts_of)
+        grams = texts_of.select("_key", "_text").mapInArrow(_grams(n, self.bits), STREAM)
+        self.shared = self.scratch.table(grams.groupBy("bucket").applyInArrow(_frequencies, STREAM), "shared")
+        self.scratch.drop("texts")
+        self.sizes = self.shared.filter("bucket < 0").select(F.col("doc_id").alias("_key"), F.col("n_words").alias("overlap"))
 
     def pairs(self, forest: bool) -> DataFrame:
-        grams = self.classes.select("_key", "_text").mapInArrow(_grams(self.n, self.bits), STREAM)
-        shared = grams.groupBy("bucket").applyInArrow(_frequencies, STREAM)
-        members = shared.groupBy("chunk").applyInArrow(_members(self.least, self.bits), MEMBER)
+        members = self.shared.groupBy("chunk").applyInArrow(_members(self.least, self.bits), MEMBER)
         found = members.groupBy("bucket").applyInArrow(_pairs(self.least, forest), "key_a long, key_b long, overlap long, size_a long, size_b long")
         return self.scratch.table(found, "pairs")
 
@@ -226,9 +228,9 @@ def jaccard_pairs(docs: DataFrame, n: int = 3, least: float = 0.5, id_col: str =
     """
     join = _Join(docs, n, least, id_col, text_col)
     pairs = join.pairs(False)
-    ids = join.classes.select("_key", "_ids")
+    ids = join.ids
     many = ids.filter(F.size("_ids") > 1)
-    within = many.join(_sizes(join), "_key").select(F.explode("_ids").alias("doc_a"), "_ids", "overlap").select("doc_a", F.explode(F.expr("filter(_ids, x -> x > doc_a)")).alias("doc_b"), "overlap", F.lit(1.0).alias("jaccard"))
+    within = many.join(join.sizes, "_key").select(F.explode("_ids").alias("doc_a"), "_ids", "overlap").select("doc_a", F.explode(F.expr("filter(_ids, x -> x > doc_a)")).alias("doc_b"), "overlap", F.lit(1.0).alias("jaccard"))
     across = (
         pairs.join(ids.toDF("key_a", "ids_a"), "key_a")
         .join(ids.toDF("key_b", "ids_b"), "key_b")
@@ -240,18 +242,6 @@ def jaccard_pairs(docs: DataFrame, n: int = 3, least: float = 0.5, id_col: str =
     return across.unionByName(within)
 
 
-def _sizes(join: _Join) -> DataFrame:
-    n = join.n
-
-    def run(batches):
-        for batch in batches:
-            for piece in chunks(batch, 1):
-                doc, _ = gram_sets(Words(piece.column(1)), n)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.bincount(doc, minlength=piece.num_rows).astype(np.int64))], names=["_key", "overlap"])
-
-    return join.classes.filter(F.size("_ids") > 1).select("_key", "_text").mapInArrow(run, "_key long, overlap long")
-
-
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(key, root): the least key that each key reaches; edges (key_a, key_b)."""
     both = scratch.table(edges.select("key_a", "key_b").union(edges.select("key_b", "key_a")).filter("key_a <> key_b").distinct(), "edges")
@@ -278,7 +268,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, least: float = 0.5, id_col
     """
     join = _Join(docs, n, least, id_col, text_col)
     roots = components(join.scratch, join.pairs(True))
-    ids = join.classes.select("_key", "_ids").join(roots, F.col("_key") == F.col("key"), "left").select(F.coalesce("root", "_key").alias("root"), "_ids", "_key")
+    ids = join.ids.join(roots, F.col("_key") == F.col("key"), "left").select(F.coalesce("root", "_key").alias("root"), "_ids", "_key")
     groups = ids.select("root", "_key", F.explode("_ids").alias("_id")).withColumn("keep", F.row_number().over(Window.partitionBy("root").orderBy("_id", "_key")) == 1)
     goes = join.scratch.table(groups.filter("not keep").select("_id", "_key").distinct(), "goes")
     stays = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
