@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, suffix_array, suffix_tree
+from . import ngram_join, quality, suffix_array, suffix_tree
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +62,10 @@ SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap)::DOUBLE AS jaccard
 FROM counted JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
 WHERE overlap / (x.n + y.n - overlap)::DOUBLE >= 0.5
 """
+
+
+def op8_quality_classifier(spark, sf_dir):
+    return quality.scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op8_quality_classifier"] = op8_quality_classifier
