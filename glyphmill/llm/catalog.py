@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality, suffix_array, suffix_tree
+from . import decontaminate, ngram_join, packing, pseudonyms, quality, suffix_array, suffix_tree
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,24 @@ def op8_quality_classifier(spark, sf_dir):
 
 
 QUERIES["op8_quality_classifier"] = op8_quality_classifier
+
+
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), threshold=0.5)
+
+
+QUERIES["op3_benchmark_decontamination"] = op3_benchmark_decontamination
+
+
+def op6_pii_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonyms(_docs(spark, sf_dir).select("doc_id", "text"), count_col="n_replaced")
+
+
+QUERIES["op6_pii_pseudonyms"] = op6_pii_pseudonyms
+
+
+def op9_packing(spark, sf_dir):
+    return packing.packed(_docs(spark, sf_dir))
+
+
+QUERIES["op9_packing"] = op9_packing
