@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, pseudonyms, quality, suffix_array, suffix_tree
+from . import chat, decontaminate, ngram_join, one_bit_search, packing, pseudonyms, quality, suffix_array, suffix_tree
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,3 +90,17 @@ def op9_packing(spark, sf_dir):
 
 
 QUERIES["op9_packing"] = op9_packing
+
+
+def op2_chat_formatting(spark, sf_dir):
+    return chat.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES["op2_chat_formatting"] = op2_chat_formatting
+
+
+def op4_nearest_neighbours(spark, sf_dir):
+    return one_bit_search.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10)
+
+
+QUERIES["op4_nearest_neighbours"] = op4_nearest_neighbours
