@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, ngram_join, one_bit_search, packing, pseudonyms, quality, suffix_array, suffix_tree
+from . import chat, decontaminate, language_model, ngram_join, one_bit_search, packing, pseudonyms, quality, suffix_array, suffix_tree
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,3 +104,10 @@ def op4_nearest_neighbours(spark, sf_dir):
 
 
 QUERIES["op4_nearest_neighbours"] = op4_nearest_neighbours
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return language_model.scores(_docs(spark, sf_dir))
+
+
+QUERIES["op5_lm_scoring"] = op5_lm_scoring
