@@ -26,6 +26,14 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that no column has."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def bucket_bits(df: DataFrame, records_each: int = 1 << 18) -> int:
     """Bits that number the buckets, from the bytes of all texts."""
     n = df.agg(F.sum(F.octet_length("_text"))).first()[0] or 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .blobs import ARROW, STREAM, bucket_bits, gather, rows, runs, split, texts
+from .blobs import ARROW, STREAM, bucket_bits, fresh, gather, rows, runs, split, texts
 from .words import U, Words, chunks, mix, window_hashes
 
 SEEN = np.dtype([("level", np.uint8), ("cell", np.uint32)])
@@ -271,5 +271,6 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, least: float = 0.5, id_col
     ids = join.ids.join(roots, F.col("_key") == F.col("key"), "left").select(F.coalesce("root", "_key").alias("root"), "_ids", "_key")
     groups = ids.select("root", "_key", F.explode("_ids").alias("_id")).withColumn("keep", F.row_number().over(Window.partitionBy("root").orderBy("_id", "_key")) == 1)
     goes = join.scratch.table(groups.filter("not keep").select("_id", "_key").distinct(), "goes")
-    stays = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    return stays.join(goes.toDF("__id", "__key"), ["__id", "__key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own_id, own_key = fresh(docs.columns, "id"), fresh(docs.columns, "key")
+    stays = docs.withColumns({own_id: F.col(f"`{id_col}`").cast("long"), own_key: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    return stays.join(goes.toDF(own_id, own_key), [own_id, own_key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
