@@ -241,7 +241,8 @@ def neighbours(vectors: DataFrame, k: int = 10, sure: float = 2.5, id_col: str =
         real = np.isfinite(best)
         order = np.lexsort((near[real], -best[real], ids[real]))
         ids, near, best = ids[real][order], near[real][order], best[real][order]
-        same = np.concatenate([[False], (ids[1:] == ids[:-1]) & (near[1:] == near[:-1])])
+        same = np.zeros(len(ids), bool)
+        same[1:] = (ids[1:] == ids[:-1]) & (near[1:] == near[:-1])
         ids, near, best = ids[~same], near[~same], best[~same]
         first = np.searchsorted(ids, ids)
         rank = np.arange(len(ids)) - first + 1
