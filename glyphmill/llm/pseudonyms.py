@@ -230,9 +230,11 @@ def pseudonyms(docs: DataFrame, key: bytes = b"glyphmill", text_col: str = "text
 
     Every pseudonym is as long as its value, so lengths and positions hold.  A null
     text stays null (0 values), an empty one empty; other columns and rows, repeated
-    ones too, stay as they are.  A password, token or key needs a digit or an at sign
+    ones too, stay as they are; count_col must be a new name.  A password, token or key needs a digit or an at sign
     somewhere in its text to be looked at.
     """
+    if count_col in docs.columns:
+        raise ValueError(f"the documents have a column {count_col} of their own")
     at = docs.columns.index(text_col)
     plain = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     schema = plain.schema if count_col is None else plain.withColumn(count_col, F.lit(0).cast("long")).schema
