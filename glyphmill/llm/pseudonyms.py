@@ -104,11 +104,11 @@ def _phone(m, key):
         if not 5 <= len(digits) <= 13:
             return None
         return refill(m[0], country + str(permute(int(digits), 10 ** len(digits), key, f"phone{country}")).zfill(len(digits)))
-    if len(digits) != 10 or digits[0] in "01":
+    if len(digits) != 10 or digits[0] in "01" and not m[0].startswith("+"):
         return None
-    high = 800 if digits[3] not in "01" else 200
-    area, office, line = radices([int(digits[:3]) - 200, int(digits[3:6]) - (200 if high == 800 else 0), int(digits[6:])], [800, high, 10_000], key, "phone1")
-    return refill(m[0], country + f"{area + 200}{office + (200 if high == 800 else 0):03d}{line:04d}")
+    low = [0 if digits[k] in "01" else 200 for k in (0, 3)]  # codes that can be assigned stay such codes
+    area, office, line = radices([int(digits[:3]) - low[0], int(digits[3:6]) - low[1], int(digits[6:])], [800 if low[0] else 200, 800 if low[1] else 200, 10_000], key, "phone1")
+    return refill(m[0], country + f"{area + low[0]:03d}{office + low[1]:03d}{line:04d}")
 
 
 def _address(m, key):
