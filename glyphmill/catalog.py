@@ -145,7 +145,7 @@ _SQL_ENTITY = rf"""CASE WHEN {_SQL_NAMES}[p] IS NOT NULL THEN {_SQL_NAMES}[p]
     "strip_html",
     rf"""WITH corpus AS ({_PAGES})
 SELECT page_id, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(html, {_quoted(html.PIECE)}),
- lambda p: CASE WHEN regexp_matches(p, {_quoted(html.BLOCK)}) THEN ' ' WHEN regexp_matches(p, '\A<[\s\S]*>\z') THEN '' WHEN regexp_matches(p, '\A&[\s\S]+;\z') THEN {_SQL_ENTITY} ELSE p END), ''),
+ lambda p: CASE WHEN regexp_matches(p, {_quoted(html.BLOCK)}) THEN ' ' WHEN regexp_matches(p, '\A<[\s\S]+\z') THEN '' WHEN regexp_matches(p, '\A&[\s\S]+;\z') THEN {_SQL_ENTITY} ELSE p END), ''),
  {_quoted('[' + chars.WHITESPACE + ']+')}, ' ', 'g')) AS text FROM corpus""",
 )
 def strip_html(spark, sf_dir):

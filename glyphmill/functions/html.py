@@ -23,7 +23,7 @@ def _skipped(tag: str) -> str:
 ENTITY = r"&[A-Za-z]{2,6};|&#\+?[0-9]{1,10};|&#[xX]\+?[0-9A-Fa-f]{1,9};"
 PIECE = "|".join([r"<!--(?:>|->|[\s\S]*?-->)", *map(_skipped, SKIPPED), "<[^>]*>", ENTITY, "[^<&]+", "[<&]"])
 BLOCK = rf"(?i)^<({'|'.join(BLOCKS)})([^A-Za-z0-9][\s\S]*)?>$"
-MARKUP = r"\A<[\s\S]*>\z"
+MARKUP = r"\A<[\s\S]+\z"  # a piece of a lone < is text
 
 
 def entity(piece: Column) -> Column:

@@ -73,13 +73,12 @@ def strip(text: str) -> str:
     return "".join(out).strip(_SPACE)
 
 
-@F.pandas_udf("string")
 def _strip(texts: pd.Series) -> pd.Series:
     return texts.map(strip, na_action="ignore")
 
 
 def strip_wikitext(text: Column) -> Column:
-    return _strip(text)
+    return F.pandas_udf(_strip, "string")(text)
 
 
 def single_line_tag(line: Column, tag: str) -> Column:

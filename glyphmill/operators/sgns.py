@@ -134,8 +134,9 @@ def _own_pass(w_in, w_out, pos, ids, own, slots, window, n_neg, rate) -> float:
     return loss
 
 
-def _centered(w_in, w_out, pos, ids, centers, slots, window, n_neg, rate, batch: int = 512) -> float:
+def _centered(w_in, w_out, pos, ids, centers, slots, window, n_neg, rate) -> float:
     loss, k = 0.0, np.arange(1, n_neg + 1)
+    batch = min(512, max(16, len(w_in)))  # few tokens repeat within a batch
     mine = np.flatnonzero(centers)
     for a in range(0, len(mine), batch):
         own = mine[a : a + batch]

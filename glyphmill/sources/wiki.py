@@ -54,7 +54,6 @@ def parse_page(chunk: str) -> tuple[str, int, str] | None:
     return None if where is None else (title, namespace, body)
 
 
-@F.pandas_udf(PAGE)
 def _parse(chunks: pd.Series) -> pd.DataFrame:
     found = [parse_page(c) or (None, None, None) for c in chunks.fillna("")]
     return pd.DataFrame(found, columns=["title", "namespace", "text"]).astype({"namespace": "Int32"})
@@ -68,7 +67,7 @@ def parse_articles(chunks: DataFrame, main_only: bool = True, compat: bool = Tru
     """
     chunks = chunks.filter(F.col("value").contains("<page>"))
     if compat:
-        pages = chunks.select(_parse("value").alias("p")).select("p.*").filter("title is not null")
+        pages = chunks.select(F.pandas_udf(_parse, PAGE)("value").alias("p")).select("p.*").filter("title is not null")
     else:
         value = F.col("value")
         plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
