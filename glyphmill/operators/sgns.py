@@ -135,27 +135,29 @@ def _own_pass(w_in, w_out, pos, ids, own, slots, window, n_neg, rate) -> float:
 
 
 def _centered(w_in, w_out, pos, ids, centers, slots, window, n_neg, rate) -> float:
-    loss, k = 0.0, np.arange(1, n_neg + 1)
-    batch = min(512, max(16, len(w_in)))  # few tokens repeat within a batch
+    loss, k, offsets = 0.0, np.arange(1, n_neg + 1), np.array([d for d in range(-window, window + 1) if d])
     mine = np.flatnonzero(centers)
+    batch = min(64, max(2, len(w_in) // 32))  # of few tokens each would move too often within a batch
     for a in range(0, len(mine), batch):
         own = mine[a : a + batch]
-        for delta in [d for d in range(-window, window + 1) if d]:
-            at = np.searchsorted(pos, pos[own] + delta)
-            have = (at < len(pos)) & (pos[np.minimum(at, len(pos) - 1)] == pos[own] + delta)
-            o, x_at = own[have], at[have]
-            if not len(o):
-                continue
-            i, j = pos[o] + 1, pos[o] + delta + 1
-            targets = np.concatenate([ids[x_at][:, None], slots[(7 * i[:, None] + 13 * j[:, None] + 17 * k) % len(slots)]], axis=1)
-            x, t = w_in[ids[o]], w_out[targets]
-            p = sigmoid(np.einsum("bd,bkd->bk", x, t))
-            loss -= float(np.log(np.maximum(p[:, 0], 1e-9)).sum() + np.log(np.maximum(1 - p[:, 1:], 1e-9)).sum())
-            g = -p * rate
-            g[:, 0] += rate
-            g = g.astype(np.float32)
-            _add_rows(w_out, targets.ravel(), (g[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1]))
-            _add_rows(w_in, ids[o], np.einsum("bk,bkd->bd", g, t))
+        want = pos[own][:, None] + offsets
+        at = np.minimum(np.searchsorted(pos, want), len(pos) - 1)
+        have = np.broadcast_to((pos[at] == want)[:, :, None], (*want.shape, 1 + n_neg)).reshape(len(own), -1)
+        picks = slots[(7 * (pos[own][:, None, None] + 1) + 13 * (want[:, :, None] + 1) + 17 * k) % len(slots)]
+        targets = np.concatenate([ids[at][:, :, None], picks], axis=2).reshape(len(own), -1)
+        x, t = w_in[ids[own]], w_out[targets]
+        p = sigmoid((t @ x[:, :, None])[:, :, 0])
+        label = np.zeros(1 + n_neg, np.float32)
+        label[0] = 1
+        label = np.tile(label, len(offsets))
+        loss -= float(np.log(np.maximum(np.where(label == 1, p, 1 - p), 1e-9))[have].sum())
+        g = np.where(have, (label - p) * np.float32(rate), 0).astype(np.float32)
+        used, where = np.unique(targets, return_inverse=True)
+        cell = where.ravel() * len(own) + np.repeat(np.arange(len(own)), targets.shape[1])
+        sums = np.bincount(cell, g.ravel(), len(used) * len(own)).reshape(len(used), len(own)).astype(np.float32)
+        move = (g[:, None, :] @ t)[:, 0]
+        w_out[used] += sums @ x
+        _add_rows(w_in, ids[own], move)
     return loss
 
 
