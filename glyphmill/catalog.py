@@ -364,7 +364,7 @@ def sgns_train(spark, sf_dir):
     """Loss of each epoch of training by partitions on all conversations."""
     tokens = _stream(spark, sf_dir)
     table = skipgram.negative_table(skipgram.unigram_counts(tokens, len(_VOCAB)), SLOTS)
-    _, _, losses = sgns.train(tokens, table, len(_VOCAB), dim=16, window=WINDOW, n_neg=N_NEG, epochs=3)
+    _, _, losses = sgns.train(tokens, table, len(_VOCAB), dim=16, window=WINDOW, n_neg=N_NEG, epochs=3, block=1 << 14)
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "epoch int, loss double")
 
 

@@ -137,7 +137,7 @@ def _own_pass(w_in, w_out, pos, ids, own, slots, window, n_neg, rate) -> float:
 def _centered(w_in, w_out, pos, ids, centers, slots, window, n_neg, rate) -> float:
     loss, k, offsets = 0.0, np.arange(1, n_neg + 1), np.array([d for d in range(-window, window + 1) if d])
     mine = np.flatnonzero(centers)
-    batch = min(64, max(2, len(w_in) // 32))  # of few tokens each would move too often within a batch
+    batch = min(64, max(8, len(w_in) // 16))  # of few tokens each would move too often within a batch
     for a in range(0, len(mine), batch):
         own = mine[a : a + batch]
         want = pos[own][:, None] + offsets
