@@ -14,8 +14,11 @@ windows of a document, so a text counts from its first word to its end.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -269,9 +272,10 @@ def train_texts(model: Model, adam: Adam, ids: np.ndarray, first: np.ndarray, en
     return seen
 
 
-def _trainer(shared, round_: int):
+def _trainer(shared, round_: int, salts: int):
     def run(batches):
         settle()
+        salt = TaskContext.get().partitionId() % salts
         flat, voc = shared.value
         model = Model(flat.copy())
         adam, seen = Adam(len(flat), 0.01 / (1 + round_)), 0
@@ -281,7 +285,7 @@ def _trainer(shared, round_: int):
                 seen += train_texts(model, adam, voc.encode(w.hashes), w.first, voc.end, round_)
         if seen:
             blocks = range(0, len(flat), BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array([model.flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary())], names=["block", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array([model.flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary()), pa.array([salt] * len(blocks), pa.int64())], names=["block", "n", "w", "salt"])
 
     return run
 
@@ -289,14 +293,17 @@ def _trainer(shared, round_: int):
 def _average(table: pa.Table) -> pa.Table:
     n = np.array(table["n"], np.float64)
     w = sum(np.frombuffer(b, np.float32).astype(np.float64) * k for b, k in zip(table["w"].to_pylist(), n / n.sum()))
-    return pa.table({"block": [table["block"][0].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"block": [table["block"][0].as_py()], "n": [int(n.sum())], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
 
 def train(own: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
-    flat = Model.start(voc).flat
+    """Partitions' weights are averaged in two steps, so that no task gets more than the square root of their number."""
+    flat, kind = Model.start(voc).flat, "block long, n long, w binary"
+    salts = max(1, math.isqrt(own.rdd.getNumPartitions()))
     for round_ in range(rounds):
         shared = own.sparkSession.sparkContext.broadcast((flat, voc))
-        blocks = own.select("_id", "_text").mapInArrow(_trainer(shared, round_), "block long, n long, w binary").groupBy("block").applyInArrow(_average, "block long, w binary").collect()
+        trained = own.select("_id", "_text").mapInArrow(_trainer(shared, round_, salts), f"{kind}, salt long")
+        blocks = trained.groupBy("block", "salt").applyInArrow(_average, kind).groupBy("block").applyInArrow(_average, kind).collect()
         flat = flat.copy()
         for r in blocks:
             flat[r.block : r.block + BLOCK] = np.frombuffer(r.w, np.float32)
