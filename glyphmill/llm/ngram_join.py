@@ -31,6 +31,7 @@ SEEN = np.dtype([("level", np.uint8), ("cell", np.uint32)])
 MEMBER = "bucket long, cell long, key long, n int, cells binary, low binary, high binary"
 MEMBER_ARROW = pa.schema([("bucket", pa.int64()), ("cell", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("cells", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 FRAGMENT, ROWS = 2048, 512
+PASSES = 2
 
 
 def gram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,9 +211,14 @@ class _Join:
         self.sizes = self.shared.filter("bucket < 0").select(F.col("doc_id").alias("_key"), F.col("n_words").alias("overlap"))
 
     def pairs(self, forest: bool) -> DataFrame:
+        """In passes, each over its share of the cells, as only one pass's shuffled members are on disk at a time."""
         members = self.shared.groupBy("chunk").applyInArrow(_members(self.least, self.bits), MEMBER)
-        found = members.groupBy("bucket").applyInArrow(_pairs(self.least, forest), "key_a long, key_b long, overlap long, size_a long, size_b long")
-        return self.scratch.table(found, "pairs")
+        found = None
+        for k in range(PASSES):
+            own = members.filter(F.col("bucket") % PASSES == k).groupBy("bucket").applyInArrow(_pairs(self.least, forest), "key_a long, key_b long, overlap long, size_a long, size_b long")
+            part = self.scratch.table(own, f"pairs{k}")
+            found = part if found is None else found.unionByName(part)
+        return found
 
 
 def jaccard_pairs(docs: DataFrame, n: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
