@@ -5,9 +5,8 @@ others share slots by hash, and a slot's probability is spread evenly over its d
 words, so the probabilities of all words of the corpus and the end sum to one.  The output
 softmax is factored: a class of 64 words first, then the word in its class.
 
-Every document trains the model on an even share of its windows, from a place that
-depends on the document, by backpropagation truncated to a window, with the state carried
-from window to window.  Partitions train side by side from common weights, and the
+Every document trains the model on all of its windows in every round, by backpropagation
+truncated to a window, with the state carried from window to window.  Partitions train side by side from common weights, and the
 weights are averaged by words between rounds.  Scoring carries the state over all
 windows of a document, so a text counts from its first word to its end.
 """
@@ -32,7 +31,6 @@ VOCABULARY = CLASS * CLASSES
 SLOTS = 128
 HIDDEN = 16
 WINDOW = 16
-SHARE = 16
 ROUNDS = 2
 BATCH = 128
 BLOCK = 8192
@@ -248,21 +246,18 @@ class Adam:
         model.flat -= self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-6)
 
 
-def train_texts(model: Model, adam: Adam, ids: np.ndarray, first: np.ndarray, end: int, round_: int) -> int:
-    """Trains on an even share of the windows of each text and gives the number of words seen."""
+def train_texts(model: Model, adam: Adam, ids: np.ndarray, first: np.ndarray, end: int) -> int:
+    """Trains on every window of each text and gives the number of words seen, ends included."""
     n = np.diff(first)
     windows = -(-(n + 1) // WINDOW)
-    take = -(-windows // SHARE)
-    room = windows - take + 1
-    begin = (mix(first[:-1].astype(U) + U(round_ + 1) * U(0x9E3779B9)) % room.astype(U)).astype(np.int64) * WINDOW
-    order, seen = np.argsort(-take, kind="stable"), 0
+    order, seen = np.argsort(-windows, kind="stable"), 0
     for a in range(0, len(order), BATCH):
         docs = order[a : a + BATCH]
         h = np.zeros((len(docs), HIDDEN), np.float32)
-        for k in range(int(take[docs[0]])):
-            docs = docs[take[docs] > k]
+        for k in range(int(windows[docs[0]])):
+            docs = docs[windows[docs] > k]
             h = h[: len(docs)]
-            at = begin[docs] + k * WINDOW + np.arange(WINDOW)[:, None]
+            at = np.broadcast_to(k * WINDOW + np.arange(WINDOW)[:, None], (WINDOW, len(docs)))
             live = at <= n[docs]
             y = np.where(at < n[docs], ids[np.minimum(first[docs] + at, max(len(ids) - 1, 0))] if len(ids) else end, end)
             x = np.where(at > 0, ids[np.clip(first[docs] + at - 1, 0, max(len(ids) - 1, 0))] if len(ids) else end, VOCABULARY)
@@ -282,7 +277,7 @@ def _trainer(shared, round_: int, salts: int):
         for batch in batches:
             for piece in chunks(batch, 1, 12 << 20):
                 w = Words(piece.column(1))
-                seen += train_texts(model, adam, voc.encode(w.hashes), w.first, voc.end, round_)
+                seen += train_texts(model, adam, voc.encode(w.hashes), w.first, voc.end)
         if seen:
             blocks = range(0, len(flat), BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array([model.flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary()), pa.array([salt] * len(blocks), pa.int64())], names=["block", "n", "w", "salt"])

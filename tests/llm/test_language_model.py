@@ -98,5 +98,19 @@ def test_training_learns_what_follows_what(spark, monkeypatch):
     assert after / len(ids) > before / len(ids) + 0.5
 
 
+def test_every_word_of_every_text_trains_the_model():
+    voc = rough()[1]
+    n = np.array([0, 1, 15, 16, 255, 4000, 40])
+    first = np.concatenate([[0], np.cumsum(n)])
+    ids = np.random.default_rng(7).integers(0, 100, first[-1])
+    model = lm.Model.start(voc)
+    adam, given = lm.Adam(len(model.flat), 0.01), []
+    window = model.window
+    model.window = lambda x, y, live, h: (given.append(y[live]), window(x, y, live, h))[1]
+    assert lm.train_texts(model, adam, ids, first, voc.end) == n.sum() + len(n)
+    expected = np.concatenate([ids, np.full(len(n), voc.end)])
+    assert sorted(np.concatenate(given).tolist()) == sorted(expected.tolist())
+
+
 def test_empty_table(spark):
     assert lm.scores(cases.empty(spark)).collect() == []
