@@ -36,7 +36,7 @@ FROM islands GROUP BY doc_id, island
 
 
 def op7_substring_dedup(spark, sf_dir):
-    return suffix_tree.maximal_repeats(_docs(spark, sf_dir), threshold=50)
+    return suffix_tree.all_maximal_repeats(_docs(spark, sf_dir), threshold=50)
 
 
 QUERIES["op7_substring_dedup"] = op7_substring_dedup

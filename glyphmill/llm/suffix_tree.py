@@ -7,8 +7,9 @@ a prefix is read only where the tree can branch: between branch points all
 suffixes of a node go on alike, so a suffix is the list of the edges it takes.
 Prefixes whose first occurrences lie in one place form a group, which gets the
 edges of each run of repeated words once for all suffixes in it; a prefix with
-very many suffixes is a group of its own.  A subtree is built top-down; the
-parent of a leaf is the longest repeat there.
+very many suffixes is a group of its own.  A subtree is built top-down; every node
+where it branches and whose suffixes different words precede is a maximal repeat, and
+the parent of a leaf is the longest repeat there.
 """
 
 from __future__ import annotations
@@ -118,8 +119,11 @@ def _counts(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trees(threshold: int):
-    """Builds the subtrees of a group of prefixes and gives each leaf whose parent can't be extended to the left."""
+def _trees(threshold: int, every: bool):
+    """Builds the subtrees of a group of prefixes and gives each suffix with its nodes that can't be extended to the left.
+
+    With `every` these are all such nodes on its way, else only the parent of its leaf.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         pos = table["pos"].to_pylist()
@@ -129,7 +133,7 @@ def _trees(threshold: int):
         shift = np.repeat(np.cumsum(edge_sizes) - edge_sizes, sizes)
         start, end = suffix["edge"] + shift, suffix["end"] + shift
         at = gather(pos, np.uint32)
-        leaf, keep = np.zeros(len(suffix), LEAF), np.zeros(len(suffix), bool)
+        which, leaves = [np.zeros(0, np.int64)], [np.zeros(0, LEAF)]
         live, node, depth = np.arange(len(suffix)), suffix["key"].copy(), 0
         count = _counts(node)
         live, node, count = live[count > 1], node[count > 1], count[count > 1]
@@ -143,13 +147,21 @@ def _trees(threshold: int):
             size = _counts(below)
             ends = size == 1
             before = suffix["before"][live]
-            alike = _counts(mix(node ^ mix(before.astype(U)))) > 1
-            found = ends & ((before < 0) | ~alike)
-            done = live[found]
-            keep[done] = True
-            leaf["node"][done], leaf["words"][done], leaf["copies"][done] = node[found].astype(np.int64), threshold + edge["at"][found] - at[done].astype(np.int64), count[found]
+            alike = _counts(mix(node) ^ mix(before.astype(U)))  # node is the mixed name itself at the root
+            if every:  # an edge that all suffixes take leads to the same node again
+                found = (size < count) & ((before < 0) | (alike < count))
+            else:
+                found = ends & ((before < 0) | (alike == 1))
+            leaf = np.empty(int(found.sum()), LEAF)
+            leaf["node"], leaf["words"], leaf["copies"] = node[found].astype(np.int64), threshold + edge["at"][found] - at[live[found]].astype(np.int64), count[found]
+            which.append(live[found])
+            leaves.append(leaf)
             live, node, count, depth = live[~ends], below[~ends], size[~ends], depth + 1
-        return split(table, keep, sizes, pos=at, b=leaf)
+        which, leaf = np.concatenate(which), np.concatenate(leaves)
+        order = np.argsort(which, kind="stable")
+        which, leaf = which[order], leaf[order]
+        sizes = np.diff(np.searchsorted(which, np.concatenate([[0], np.cumsum(sizes)])))
+        return split(table, np.ones(len(which), bool), sizes, pos=at[which], b=leaf)
 
     return run
 
@@ -164,7 +176,7 @@ def _passages(table: pa.Table) -> pa.Table:
 
 
 def maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of at least `threshold` words that occur again and can't be extended to either side and still do so.
+    """Where a word begins: the longest passage of at least `threshold` words that occurs again, if it can't be extended to the left and still do so.
 
     Returns (doc_id, start_word, n_words, n_copies, repeat_id): occurrences of one
     passage share repeat_id; n_copies counts all of its occurrences in the corpus,
@@ -174,6 +186,19 @@ def maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id"
     Repeated rows are texts of their own and repeat each other.  Other columns are
     ignored; an empty table gives an empty result.
     """
+    return _repeats(docs, threshold, False, id_col, text_col)
+
+
+def all_maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every occurrence of every maximal repeat: of each passage of at least `threshold` words whose occurrences don't all go on alike to either side.
+
+    Columns and cases as in maximal_repeats, whose rows are among these; here passages
+    inside longer repeats have rows as well, so each repeat_id has n_copies rows.
+    """
+    return _repeats(docs, threshold, True, id_col, text_col)
+
+
+def _repeats(docs: DataFrame, threshold: int, every: bool, id_col: str, text_col: str) -> DataFrame:
     if threshold < 1:
         raise ValueError("threshold must be at least 1")
     own = texts(docs, id_col, text_col)
@@ -184,6 +209,6 @@ def maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id"
     flags = scratch.table(near.groupBy("bucket").applyInArrow(_branching, STREAM), "branches")
     n = flags.agg(F.sum(F.octet_length("pos") / 4)).first()[0] or 0
     suffixes = own.unionByName(flags).groupBy("chunk").applyInArrow(_suffixes(max(2, int(np.ceil(np.log2(n / 50_000 + 1))))), STREAM)
-    leaves = scratch.table(suffixes.groupBy("bucket").applyInArrow(_trees(threshold), STREAM), "leaves")
+    leaves = scratch.table(suffixes.groupBy("bucket").applyInArrow(_trees(threshold, every), STREAM), "leaves")
     scratch.drop("branches")
     return leaves.unionByName(listing).groupBy("chunk").applyInArrow(_passages, "doc_id long, start_word long, n_words long, n_copies long, repeat_id long")

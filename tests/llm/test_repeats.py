@@ -77,6 +77,42 @@ def test_repeats_equal_brute_force(spark):
         assert Counter(tuple(r)[:4] for r in got) == brute_repeats(small(), threshold)
 
 
+def brute_all(rows, threshold):
+    """Rows of all substrings that occur again and that different words, or none, precede and follow."""
+    texts = [(k, cases.words(t)) for k, t in rows]
+    out = Counter()
+    for n in range(threshold, max(len(w) for _, w in texts) + 1):
+        found = defaultdict(list)
+        for number, (_, w) in enumerate(texts):
+            for i in range(len(w) - n + 1):
+                found[tuple(w[i : i + n])].append((number, i))
+        found = [f for f in found.values() if len(f) > 1]
+        if not found:
+            break
+        for places in found:
+            left = {texts[d][1][i - 1] if i else (d, "start") for d, i in places}
+            right = {texts[d][1][i + n] if i + n < len(texts[d][1]) else (d, "end") for d, i in places}
+            if len(left) > 1 and len(right) > 1:
+                out.update((texts[d][0], i, n, len(places)) for d, i in places)
+    return out
+
+
+def test_a_passage_inside_repeats_is_given(spark):
+    p = cases.made(60, 70)
+    a, b = (f"{cases.made(30, 71 + k)} {p} {cases.made(30, 81 + k)}" for k in (0, 1))
+    rows = [(1, a), (2, a), (3, b), (4, b)]
+    got = Counter(tuple(r)[:4] for r in suffix_tree.all_maximal_repeats(cases.frame(spark, rows), 50).collect())
+    assert got == Counter([(1, 0, 120, 2), (2, 0, 120, 2), (3, 0, 120, 2), (4, 0, 120, 2), *((k, 30, 60, 4) for k in (1, 2, 3, 4))])
+
+
+def test_all_repeats_equal_brute_force(spark):
+    for threshold in (10, 50):
+        got = suffix_tree.all_maximal_repeats(cases.frame(spark, small()), threshold).collect()
+        assert Counter(tuple(r)[:4] for r in got) == brute_all(small(), threshold)
+        ids = Counter(r.repeat_id for r in got)
+        assert all(ids[r.repeat_id] == r.n_copies for r in got)
+
+
 def test_occurrences_of_a_passage_share_an_id(spark):
     rows = small()
     got = suffix_tree.maximal_repeats(cases.frame(spark, rows), 50).collect()
