@@ -30,7 +30,7 @@ NEIGHBOURS = np.dtype([("before", np.int64), ("after", np.int64)])
 MARK = np.dtype([("flags", np.uint8), ("group", U)])
 SUFFIX = np.dtype([("key", U), ("before", np.int64), ("edge", np.int32), ("end", np.int32)])
 EDGE = np.dtype([("name", np.int64), ("at", np.int32)])
-LEAF = np.dtype([("node", np.int64), ("words", np.int64), ("copies", np.int64)])
+LEAF = np.dtype([("node", np.int64), ("words", np.int64), ("copies", np.int64), ("prefix", np.int64), ("longest", np.bool_)])
 
 
 def _neighbours(table: pa.Table) -> pa.Table:
@@ -120,9 +120,9 @@ def _counts(values: np.ndarray) -> np.ndarray:
 
 
 def _trees(threshold: int, every: bool):
-    """Builds the subtrees of a group of prefixes and gives each suffix with its nodes that can't be extended to the left.
+    """Builds the subtrees of a group of prefixes and gives each leaf whose parent can't be extended to the left.
 
-    With `every` these are all such nodes on its way, else only the parent of its leaf.
+    With `every`, each suffix comes with its deepest node that can't, and each other such node with one suffix.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -133,7 +133,7 @@ def _trees(threshold: int, every: bool):
         shift = np.repeat(np.cumsum(edge_sizes) - edge_sizes, sizes)
         start, end = suffix["edge"] + shift, suffix["end"] + shift
         at = gather(pos, np.uint32)
-        which, leaves = [np.zeros(0, np.int64)], [np.zeros(0, LEAF)]
+        best, which, others = np.zeros(len(suffix), LEAF), [np.zeros(0, np.int64)], [np.zeros(0, LEAF)]
         live, node, depth = np.arange(len(suffix)), suffix["key"].copy(), 0
         count = _counts(node)
         live, node, count = live[count > 1], node[count > 1], count[count > 1]
@@ -152,12 +152,21 @@ def _trees(threshold: int, every: bool):
                 found = (size < count) & ((before < 0) | (alike < count))
             else:
                 found = ends & ((before < 0) | (alike == 1))
-            leaf = np.empty(int(found.sum()), LEAF)
-            leaf["node"], leaf["words"], leaf["copies"] = node[found].astype(np.int64), threshold + edge["at"][found] - at[live[found]].astype(np.int64), count[found]
-            which.append(live[found])
-            leaves.append(leaf)
+            own = live[found]
+            leaf = np.empty(len(own), LEAF)
+            leaf["node"], leaf["words"], leaf["copies"] = node[found].astype(np.int64), threshold + edge["at"][found] - at[own].astype(np.int64), count[found]
+            leaf["prefix"], leaf["longest"] = best["node"][own], True
+            best[own] = leaf
+            if every:
+                once = np.unique(leaf["node"], return_index=True)[1]
+                which.append(own[once])
+                others.append(leaf[once])
             live, node, count, depth = live[~ends], below[~ends], size[~ends], depth + 1
-        which, leaf = np.concatenate(which), np.concatenate(leaves)
+        deepest = np.flatnonzero(best["copies"])
+        which, others = np.concatenate(which), np.concatenate(others)
+        shared = ~np.isin(others["node"], best["node"][deepest])  # all of its suffixes have deeper nodes
+        others["longest"] = False
+        which, leaf = np.concatenate([deepest, which[shared]]), np.concatenate([best[deepest], others[shared]])
         order = np.argsort(which, kind="stable")
         which, leaf = which[order], leaf[order]
         sizes = np.diff(np.searchsorted(which, np.concatenate([[0], np.cumsum(sizes)])))
@@ -172,7 +181,7 @@ def _passages(table: pa.Table) -> pa.Table:
     pos, leaf = gather(own["pos"].to_pylist(), np.uint32).astype(np.int64), gather(own["b"].to_pylist(), LEAF)
     first, n = np.array(docs["first"], np.int64), np.array(docs["n_words"], np.int64)
     doc = np.searchsorted(first + n, pos, "right")
-    return pa.table({"doc_id": docs["doc_id"].take(pa.array(doc)), "start_word": pa.array(pos - first[doc]), "n_words": pa.array(leaf["words"]), "n_copies": pa.array(leaf["copies"]), "repeat_id": pa.array(leaf["node"])})
+    return pa.table({"doc_id": docs["doc_id"].take(pa.array(doc)), "start_word": pa.array(pos - first[doc]), "n_words": pa.array(leaf["words"]), "n_copies": pa.array(leaf["copies"]), "repeat_id": pa.array(leaf["node"]), "prefix_id": pa.array(leaf["prefix"], mask=leaf["prefix"] == 0), "longest": pa.array(leaf["longest"])})
 
 
 def maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,14 +195,20 @@ def maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id"
     Repeated rows are texts of their own and repeat each other.  Other columns are
     ignored; an empty table gives an empty result.
     """
-    return _repeats(docs, threshold, False, id_col, text_col)
+    return _repeats(docs, threshold, False, id_col, text_col).drop("prefix_id", "longest")
 
 
 def all_maximal_repeats(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every occurrence of every maximal repeat: of each passage of at least `threshold` words whose occurrences don't all go on alike to either side.
-
-    Columns and cases as in maximal_repeats, whose rows are among these; here passages
-    inside longer repeats have rows as well, so each repeat_id has n_copies rows.
+    """Every maximal repeat: each passage of at least `threshold` words whose occurrences don't all go on alike to either side.
+
+    Returns (doc_id, start_word, n_words, n_copies, repeat_id, prefix_id, longest).  Each
+    word at which maximal repeats begin has a row with `longest` for the longest of
+    them; prefix_id is the next shorter repeat that begins there, null for none.  So the
+    n_copies occurrences of a repeat are the `longest` rows of itself and of all repeats
+    that lead to it by prefix_id.  A repeat without rows of its own has one without
+    `longest`, at one of its occurrences.  Rows are at most twice the words at which
+    repeats begin; spelled out, nested repeats would take the square.  Other cases are
+    as in maximal_repeats.
     """
     return _repeats(docs, threshold, True, id_col, text_col)
 
@@ -211,4 +226,4 @@ def _repeats(docs: DataFrame, threshold: int, every: bool, id_col: str, text_col
     suffixes = own.unionByName(flags).groupBy("chunk").applyInArrow(_suffixes(max(2, int(np.ceil(np.log2(n / 50_000 + 1))))), STREAM)
     leaves = scratch.table(suffixes.groupBy("bucket").applyInArrow(_trees(threshold, every), STREAM), "leaves")
     scratch.drop("branches")
-    return leaves.unionByName(listing).groupBy("chunk").applyInArrow(_passages, "doc_id long, start_word long, n_words long, n_copies long, repeat_id long")
+    return leaves.unionByName(listing).groupBy("chunk").applyInArrow(_passages, "doc_id long, start_word long, n_words long, n_copies long, repeat_id long, prefix_id long, longest boolean")
