@@ -208,14 +208,18 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
 
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[[*b"0123456789@"]] = True
+_SECRET = "(?i:password|passwd|pwd|secret|token|api_?key)[=:]|AKIA|ASIA|gh[po]_|sk-|xox[bp]-"  # how values that may be of letters only begin
 
 
 def replace_texts(column: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
-    """The column with pseudonyms; only texts with a digit or an at sign are looked into."""
+    """The column with pseudonyms; only texts with a digit, an at sign or the beginning of a secret are looked into, as no rule matches others."""
     settle()
     data, at = buffers(column)
     marks = np.concatenate([[0], np.cumsum(_CANDIDATE[data[at[0] : at[-1]]], dtype=np.int64)])
-    maybe = np.flatnonzero(marks[at[1:] - at[0]] > marks[at[:-1] - at[0]])
+    marked = marks[at[1:] - at[0]] > marks[at[:-1] - at[0]]
+    rest = np.flatnonzero(~marked)
+    marked[rest] = pa.compute.match_substring_regex(column.take(pa.array(rest)), _SECRET).fill_null(False).to_numpy(zero_copy_only=False)
+    maybe = np.flatnonzero(marked)
     counts, changed, values = np.zeros(len(column), np.int64), np.zeros(len(column), bool), []
     for k, text in zip(maybe.tolist(), column.take(pa.array(maybe)).to_pylist()):
         new, counts[k] = pseudonymise(text, key)
@@ -230,8 +234,7 @@ def pseudonyms(docs: DataFrame, key: bytes = b"glyphmill", text_col: str = "text
 
     Every pseudonym is as long as its value, so lengths and positions hold.  A null
     text stays null (0 values), an empty one empty; other columns and rows, repeated
-    ones too, stay as they are; count_col must be a new name.  A password, token or key needs a digit or an at sign
-    somewhere in its text to be looked at.
+    ones too, stay as they are; count_col must be a new name.
     """
     if count_col in docs.columns:
         raise ValueError(f"the documents have a column {count_col} of their own")
