@@ -269,8 +269,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, least: float = 0.5, id_col
     """The documents without near copies: of each group linked by pairs of enough similarity, the lowest doc_id stays.
 
     All columns and documents outside of groups stay as they are; a null text or a
-    text without words, and a null doc_id, are in no group.  Of repeated rows with one
-    doc_id one stays if the group's choice is that doc_id.
+    text without words, and a null doc_id, are in no group.  Repeated rows of one doc_id
+    with equal texts all stay if the group's choice is that doc_id and text, else none.
     """
     join = _Join(docs, n, least, id_col, text_col)
     roots = components(join.scratch, join.pairs(True))
