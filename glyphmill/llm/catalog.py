@@ -43,24 +43,30 @@ QUERIES["op7_substring_dedup"] = op7_substring_dedup
 
 
 def op10_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join.jaccard_pairs(_docs(spark, sf_dir), n=3, least=0.5)
+    return ngram_join.linked_documents(_docs(spark, sf_dir), n=3, least=0.5)
 
 
 QUERIES["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
 ORACLE_SQL["op10_ngram_jaccard_join"] = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(text, '[^\t-\r ]+') AS w
-  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH RECURSIVE own AS (
+  SELECT row_number() OVER () AS r, doc_id, w
+  FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+') AS w FROM documents WHERE doc_id IS NOT NULL)),
 grams AS (
-  SELECT DISTINCT doc_id, w[k:k + 2] AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS k FROM words WHERE len(w) > 0)),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+  SELECT DISTINCT r, w[k:k + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 1))) AS k FROM own WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
 counted AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
-  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap)::DOUBLE AS jaccard
-FROM counted JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE overlap / (x.n + y.n - overlap)::DOUBLE >= 0.5
+  SELECT a.r AS x, b.r AS y, count(*) AS overlap
+  FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (
+  SELECT x, y FROM counted JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y
+  WHERE overlap / (p.n + q.n - overlap)::DOUBLE >= 0.5),
+reached(r, other) AS (
+  SELECT r, r FROM own UNION SELECT reached.r, links.y FROM reached JOIN links ON links.x = reached.other),
+classes AS (SELECT reached.r, min(own.doc_id) AS class_id FROM reached JOIN own ON own.r = reached.other GROUP BY reached.r),
+degrees AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links
+FROM own JOIN classes USING (r) LEFT JOIN degrees USING (r)
 """
 
 

@@ -6,11 +6,16 @@ then by the gram.  Grams of one document family therefore lie side by side, and
 the order is cut into cells that hold all grams of one level and family.
 
 Two documents of Jaccard t or more share a gram among the first
-n - ceil(t n) + 1 of each.  A document goes, with its grams, to the cells of
-these; documents that have none which another document shares drop out, however
-popular the passages in the rest of their text are.  In a cell the order is cut
-into fragments, the overlaps of all pairs are counted in each fragment by itself
-and summed per pair.  A pair is reported in the first cell that both have.
+n - ceil(t n) + 1 of each.  Documents that have none which another document
+shares drop out, however popular the passages in the rest of their text are; the
+others belong to the cells of these grams.  Documents take the largest cell near them
+as their label, and those of one label are one unit, to which each sends its grams
+once.  A cell whose documents don't all have one label is a unit, too, so
+no pair is lost; one of too many documents is cut into blocks, whose pairs are units.
+
+In a unit the order is cut into fragments.  Each counts the overlaps of the documents
+that have grams in it, and they are summed per pair.  A unit gives a number of links for each
+document and the edges of a forest, never its pairs, so the output follows the input.
 """
 
 from __future__ import annotations
@@ -20,18 +25,22 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..scratch import Scratch
 from .blobs import ARROW, STREAM, bucket_bits, fresh, gather, rows, runs, split, texts
 from .words import U, Words, chunks, mix, window_hashes
 
 SEEN = np.dtype([("level", np.uint8), ("cell", np.uint32)])
-MEMBER = "bucket long, cell long, key long, n int, cells binary, low binary, high binary"
-MEMBER_ARROW = pa.schema([("bucket", pa.int64()), ("cell", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("cells", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
-FRAGMENT, ROWS = 2048, 512
-PASSES = 2
+LIST = "key long, n int, cells array<long>, low binary, high binary"
+LIST_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("cells", pa.list_(pa.int64())), ("low", pa.binary()), ("high", pa.binary())])
+FOUND = "key long, other long, links long"
+FRAGMENT, ROWS = 1024, 512
+UNIT = 4096
+ROUNDS = 2
+HAS_WORDS = "[^\\t-\\r ]"
 
 
 def gram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +98,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return split(table, keep, sizes, pos=doc, a=rank, b=seen)
 
 
-def _members(least: float, bits: int):
-    """At a chunk: the documents that can have a partner, once for each cell of their first grams."""
+def _lists(least: float):
+    """At a chunk: the documents that can have a partner, with the cells of their first grams and all shared grams."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = np.array(table["bucket"], np.int64)
@@ -103,149 +112,179 @@ def _members(least: float, bits: int):
         order = np.lexsort((name, cell, doc))
         doc, cell, name = doc[order], cell[order], name[order]
         key, size = docs["doc_id"].to_numpy(), np.array(docs["n_words"], np.int64)
-        out = {f.name: [] for f in MEMBER_ARROW}
+        out = {f.name: [] for f in LIST_ARROW}
         for x, shared in zip(*(v.tolist() for v in runs(doc))):
             n = int(size[doc[x]])
             prefix = n - math.ceil(least * n - 1e-9) + 1 - (n - shared)
             if prefix <= 0:
                 continue
-            cells = np.unique(cell[x : x + min(prefix, shared)])
-            names = np.sort(name[x : x + shared])
-            low, high, blob = names.astype(np.uint32).tobytes(), (names >> U(48)).astype(np.uint16).tobytes(), cells.tobytes()
-            for c in cells.tolist():
-                for k, v in (("cell", c), ("key", int(key[doc[x]])), ("n", n), ("cells", blob), ("low", low), ("high", high)):
-                    out[k].append(v)
-        out["bucket"] = (mix(np.array(out["cell"], np.int64).astype(U)) >> U(64 - bits)).astype(np.int64)
-        return pa.table(out, schema=MEMBER_ARROW)
+            names = name[x : x + shared]
+            for k, v in (("key", int(key[doc[x]])), ("n", n), ("cells", np.unique(cell[x : x + min(prefix, shared)])), ("low", names.astype(np.uint32).tobytes()), ("high", (names >> U(48)).astype(np.uint16).tobytes())):
+                out[k].append(v)
+        return pa.table(out, schema=LIST_ARROW)
 
     return run
 
 
-def _overlaps(ids: list[np.ndarray]):
-    """For blocks of rows (i, j), the sizes of all intersections, summed over fragments of the sorted ids."""
-    size = np.array([len(x) for x in ids])
-    flat, row = np.concatenate(ids), np.repeat(np.arange(len(ids)), size)
+def overlaps(ids: list[np.ndarray], first: int) -> np.ndarray:
+    """The sizes of the intersections of the first lists with the others (of all with all if `first` takes all), fragment by fragment.
+
+    Ids that lie in one list only are left out; the rest are ordered by the first list that has them, so a
+    fragment concerns few lists, and only these are counted in it.
+    """
+    whole = first == len(ids)
+    both = np.zeros((first, len(ids) - (0 if whole else first)), np.float32)
+    flat, row = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     order = np.argsort(flat, kind="stable")
-    first, count = runs(flat[order])
-    shared = count > 1
-    column = np.repeat(np.where(shared, np.cumsum(shared) - 1, -1), count)
-    row = row[order][column >= 0]
-    column = column[column >= 0]
-    total = int(shared.sum())
-    cut = np.searchsorted(column, np.arange(0, total + FRAGMENT, FRAGMENT))
-    blocks = range(0, len(ids), ROWS)
-    for i in blocks:
-        for j in blocks[: i // ROWS + 1]:
-            both = np.zeros((min(ROWS, len(ids) - i), min(ROWS, len(ids) - j)), np.float32)
-            for f, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                r, c = row[x:y], column[x:y] - f * FRAGMENT
-                left = np.zeros((both.shape[0], min(FRAGMENT, total - f * FRAGMENT)), np.float32)
-                mine = (r >= i) & (r < i + ROWS)
-                left[r[mine] - i, c[mine]] = 1
-                if i == j:
-                    right = left
-                else:
-                    right = np.zeros((both.shape[1], left.shape[1]), np.float32)
-                    mine = (r >= j) & (r < j + ROWS)
-                    right[r[mine] - j, c[mine]] = 1
-                both += left @ right.T
-            yield i, j, both
-
-
-def _pairs(least: float, forest: bool):
-    """In a group of cells: all pairs of enough similarity, or the edges of a forest that joins them."""
+    begin, count = runs(flat[order])
+    row = row[order]
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared[np.argsort(row[begin[shared]], kind="stable")]] = np.arange(len(shared))
+    column = np.repeat(place, count)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cut = np.searchsorted(column, np.arange(0, len(shared) + FRAGMENT, FRAGMENT))
+    for f, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        part = []
+        for mine in ([slice(x, y)] if whole else [np.flatnonzero(row[x:y] < first) + x, np.flatnonzero(row[x:y] >= first) + x]):
+            lists, at = np.unique(row[mine], return_inverse=True)
+            ones = np.zeros((len(lists), min(FRAGMENT, len(shared) - f * FRAGMENT)), np.float32)
+            ones[at, column[mine] - f * FRAGMENT] = 1
+            part.append((lists, ones))
+        (a, left), (b, right) = part[0], part[-1]
+        if len(a) and len(b):
+            both[np.ix_(a, b if whole else b - first)] += left @ right.T
+    return both
+
+
+def _linked(names: list[np.ndarray], n: np.ndarray, first: int, least: float) -> np.ndarray:
+    """Which documents of a unit are linked, as a symmetric matrix; of two blocks only pairs across."""
+    both, k = overlaps(names, first), len(names)
+    linked, shift = np.zeros((k, k), bool), k - both.shape[1]
+    for a in range(0, len(both), ROWS):
+        part = both[a : a + ROWS].astype(np.float64)
+        linked[a : a + ROWS, shift:][: len(part)] = (part >= 0.5) & (part / (n[a : a + len(part), None] + n[None, shift:] - part) >= least)
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row the least row that it reaches."""
+    root = np.arange(len(linked))
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if root[start] != start:
+            continue
+        seen = np.zeros(len(linked), bool)
+        seen[start], front = True, np.array([start])
+        while len(front):
+            reach = linked[front].any(axis=0) & ~seen
+            seen |= reach
+            front = np.flatnonzero(reach)
+        root[seen] = start
+    return root
+
+
+def _links(least: float):
+    """In a group of units: for each document its number of links (other = key), and the edges of forests (links 0)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cell", "ascending"), ("key", "ascending")])
-        cell, key, n = np.array(table["cell"], np.int64), np.array(table["key"], np.int64), np.array(table["n"], np.int64)
+        table = table.sort_by([(c, "ascending") for c in ("own", "unit", "i", "j", "part", "key")])
+        columns = {c: table[c].to_numpy() for c in ("unit", "i", "j", "part", "key", "n", "copies")}
+        key, n, copies = columns["key"], columns["n"].astype(np.int64), columns["copies"].astype(np.float64)
+        own = table["own"].to_numpy(zero_copy_only=False)
         found = [np.zeros((0, 3), np.int64)]
-        for x, k in zip(*(v.tolist() for v in runs(cell))):
+        for x, k in zip(*(v.tolist() for v in runs(own, columns["unit"], columns["i"], columns["j"]))):
             if k == 1:
                 continue
-            part = table.slice(x, k)
-            names = [np.frombuffer(a, np.uint32).astype(U) | (np.frombuffer(b, np.uint16).astype(U) << U(32)) for a, b in zip(part["low"].to_pylist(), part["high"].to_pylist())]
-            cells = [c[: np.searchsorted(c, cell[x])] for c in (np.frombuffer(b, np.int64) for b in part["cells"].to_pylist())]
-            earlier = _overlaps(cells) if not forest else None
-            label = np.arange(k)
-            for i, j, both in _overlaps(names):
-                own, other = n[x + i : x + i + both.shape[0], None], n[None, x + j : x + j + both.shape[1]]
-                good = both >= np.float32(0.5)
-                good &= both / (own + other - both) >= least
-                if earlier is not None:
-                    good &= next(earlier)[2] == 0
-                a, b = np.nonzero(good)
-                a, b, o = a + i, b + j, both[a, b]
-                a, b, o = a[a > b], b[a > b], o[a > b]
-                if forest:
-                    for p, q in zip(a.tolist(), b.tolist()):
-                        while label[p] != p:
-                            p = label[p]
-                        while label[q] != q:
-                            q = label[q]
-                        if p != q:
-                            label[max(p, q)] = min(p, q)
-                else:
-                    found.append(np.stack([x + a, x + b, o.astype(np.int64)], axis=1))
-            if forest:
-                a = np.flatnonzero(label != np.arange(k))
-                found.append(np.stack([x + a, x + label[a], np.zeros(len(a), np.int64)], axis=1))
-        a, b, o = np.concatenate(found).T
-        return pa.table({"key_a": key[a], "key_b": key[b], "overlap": o, "size_a": n[a], "size_b": n[b]})
+            piece, part = table.slice(x, k), columns["part"][x : x + k]
+            first = k if part[0] == part[-1] else int((part == part[0]).sum())
+            if first == k and columns["i"][x] != columns["j"][x]:
+                continue  # one of the two blocks is empty
+            names = [np.frombuffer(a, np.uint32).astype(U) | (np.frombuffer(b, np.uint16).astype(U) << U(32)) for a, b in zip(piece["low"].to_pylist(), piece["high"].to_pylist())]
+            linked = _linked(names, n[x : x + k], first, least)
+            if not own[x]:  # pairs of one label, or of an earlier common cell, are linked there
+                label = piece["label"].to_numpy(zero_copy_only=False).astype(np.float64, copy=False) if piece["label"].null_count == k else np.array([np.nan if v is None else v for v in piece["label"].to_pylist()])
+                linked &= label[:, None] != label[None, :]
+                cells = [np.array(c, np.int64) for c in piece["extra"].to_pylist()]
+                linked &= overlaps([c[c < columns["unit"][x]] for c in cells], k) == 0
+            links = np.concatenate([linked[a : a + ROWS].astype(np.float64) @ copies[x : x + k] for a in range(0, k, ROWS)]).astype(np.int64)
+            a = np.flatnonzero(links)
+            found.append(np.stack([key[x + a], key[x + a], links[a]], axis=1))
+            root = forest(linked)
+            a = np.flatnonzero(root != np.arange(k))
+            found.append(np.stack([key[x + a], key[x + root[a]], np.zeros(len(a), np.int64)], axis=1))
+        return pa.table(dict(zip(("key", "other", "links"), np.concatenate(found).T)))
 
     return run
 
 
 class _Join:
+    """members: the distinct (_id, _key) of the documents; keys: for each text with words its copies, lowest _id, root and links."""
+
     def __init__(self, docs: DataFrame, n: int, least: float, id_col: str, text_col: str):
         if n < 1 or not 0 < least <= 1:
             raise ValueError("n must be at least 1 and the least Jaccard in (0, 1]")
-        own = texts(docs, id_col, text_col).filter("_id is not null and _text is not null")
-        self.scratch = Scratch(docs.sparkSession)
-        same = own.groupBy(F.xxhash64("_text").alias("_key"), F.hash("_text").alias("_h"), F.length("_text").alias("_l"))
-        texts_of = self.scratch.table(same.agg(F.first("_text").alias("_text"), F.array_sort(F.collect_set("_id")).alias("_ids")).filter(F.col("_text").rlike("[^\\t-\\r ]")), "texts")
-        self.ids = self.scratch.table(texts_of.select("_key", "_ids"), "ids")
-        self.least, self.bits = least, bucket_bits(texts_of)
-        grams = texts_of.select("_key", "_text").mapInArrow(_grams(n, self.bits), STREAM)
-        self.shared = self.scratch.table(grams.groupBy("bucket").applyInArrow(_frequencies, STREAM), "shared")
-        self.scratch.drop("texts")
-        self.sizes = self.shared.filter("bucket < 0").select(F.col("doc_id").alias("_key"), F.col("n_words").alias("overlap"))
-
-    def pairs(self, forest: bool) -> DataFrame:
-        """In passes, each over its share of the cells, as only one pass's shuffled members are on disk at a time."""
-        members = self.shared.groupBy("chunk").applyInArrow(_members(self.least, self.bits), MEMBER)
-        found = None
-        for k in range(PASSES):
-            own = members.filter(F.col("bucket") % PASSES == k).groupBy("bucket").applyInArrow(_pairs(self.least, forest), "key_a long, key_b long, overlap long, size_a long, size_b long")
-            part = self.scratch.table(own, f"pairs{k}")
-            found = part if found is None else found.unionByName(part)
-        return found
-
-
-def jaccard_pairs(docs: DataFrame, n: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents whose sets of n-grams of words have a Jaccard similarity of at least `least`.
-
-    Returns (doc_a, doc_b, overlap, jaccard) with doc_a < doc_b.  Texts are compared
-    once and their pairs spread over all documents that have them.
-
-    A text of 1 to n - 1 words is one gram; one without words, a null text and a null
-    doc_id have no pairs.  Repeated rows are one document.  A doc_id with several
-    texts is compared with each; two of its own texts are no pair.  Other columns
-    are ignored; an empty table gives an empty result.
+        own = texts(docs, id_col, text_col).filter("_id is not null").withColumn("_words", F.coalesce(F.col("_text").rlike(HAS_WORDS), F.lit(False))).withColumn("_key", F.xxhash64("_text"))
+        self.scratch = scratch = Scratch(docs.sparkSession)
+        self.members = scratch.table(own.select("_id", "_key", "_words").distinct(), "members")
+        copies = scratch.table(self.members.filter("_words").groupBy(F.col("_key").alias("key")).agg(F.count("*").alias("copies"), F.min("_id").alias("low_id")), "copies")
+        texts_of = scratch.table(own.filter("_words").groupBy("_key").agg(F.first("_text").alias("_text")), "texts")
+        bits = bucket_bits(texts_of)
+        grams = texts_of.select("_key", "_text").mapInArrow(_grams(n, bits), STREAM)
+        shared = scratch.table(grams.groupBy("bucket").applyInArrow(_frequencies, STREAM), "shared")
+        scratch.drop("texts")
+        lists = scratch.table(shared.groupBy("chunk").applyInArrow(_lists(least), LIST), "lists")
+        scratch.drop("shared")
+        sends = lists.join(self._routes(lists), "key").join(copies.select("key", "copies"), "key").withColumn("bucket", F.pmod(F.xxhash64("own", "unit", "i", "j"), F.lit(1 << bits)))
+        found = scratch.table(sends.drop("cells").groupBy("bucket").applyInArrow(_links(least), FOUND), "found")
+        scratch.drop("lists", "cells", "extra", *[f"label{k}" for k in range(ROUNDS + 1)])
+        roots = components(scratch, found.filter("key <> other").toDF("key_a", "key_b", "links"))
+        links = found.filter("key = other").groupBy("key").agg(F.sum("links").alias("links"))
+        self.keys = copies.join(roots, "key", "left").join(links, "key", "left").select("key", "copies", "low_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    def _routes(self, lists: DataFrame) -> DataFrame:
+        """(key, own, unit, i, j, part, label, extra): the units of each document.
+
+        The labels spread from cell to document and back in a fixed number of rounds.  A label of more than UNIT
+        documents counts as none, and their cells are units.
+        """
+        table, near = self.scratch.table, lists.select("key", F.explode("cells").alias("cell"))
+        cells = table(near.join(near.groupBy("cell").agg(F.count("*").alias("docs")).filter("docs > 1"), "cell"), "cells")
+        label = table(cells.groupBy("key").agg(F.max(F.struct("docs", "cell")).alias("label")), "label0")
+        for k in range(ROUNDS):
+            best = cells.join(label, "key").groupBy("cell").agg(F.max("label").alias("label"))
+            label = table(cells.join(best, "cell").groupBy("key").agg(F.max("label").alias("label")), f"label{k + 1}")
+        fits = label.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") <= UNIT)
+        label = label.join(fits, "label", "left").select("key", F.when(F.col("size").isNotNull(), F.col("label.cell")).alias("label"), "size")
+        whole = cells.join(label, "key").groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.count("*").alias("docs"))
+        rest = whole.filter("labelled < docs or low <> high").select("cell", "docs")
+        extra = table(cells.select("key", "cell").join(rest, "cell"), "extra")
+        parts = F.when(F.col("docs") > UNIT, F.ceil(F.col("docs") / (UNIT // 2))).otherwise(F.lit(1))
+        units = label.filter("size > 1").select("key", F.lit(True).alias("own"), F.col("label").alias("unit"), F.lit(1).cast("long").alias("parts")).unionByName(extra.select("key", F.lit(False).alias("own"), F.col("cell").alias("unit"), parts.cast("long").alias("parts")))
+        units = units.withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("q", F.explode(F.expr("sequence(0L, parts - 1)")))
+        also = label.select("key", "label").join(extra.groupBy("key").agg(F.array_sort(F.collect_list("cell")).alias("extra")), "key", "left")
+        return units.join(also, "key").select("key", "own", "unit", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "label", F.coalesce("extra", F.array().cast("array<long>")).alias("extra"))
+
+
+def linked_documents(docs: DataFrame, n: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) of every document, by pairs whose sets of n-grams of words have a Jaccard similarity of at least `least`.
+
+    n_links counts the documents with which a document makes such a pair, copies of its text included.
+    Documents that pairs link, directly or through others, are one class; class_id is its lowest doc_id.
+
+    A document is a distinct (doc_id, text); repeated rows are one.  A doc_id with several texts has a row for
+    each, and its texts may be linked.  A text of 1 to n - 1 words is one gram; a null text or one without words
+    has no links and is its own class; a null doc_id has no row.  Other columns are ignored; an
+    empty table gives an empty result.
     """
     join = _Join(docs, n, least, id_col, text_col)
-    pairs = join.pairs(False)
-    ids = join.ids
-    many = ids.filter(F.size("_ids") > 1)
-    within = many.join(join.sizes, "_key").select(F.explode("_ids").alias("doc_a"), "_ids", "overlap").select("doc_a", F.explode(F.expr("filter(_ids, x -> x > doc_a)")).alias("doc_b"), "overlap", F.lit(1.0).alias("jaccard"))
-    across = (
-        pairs.join(ids.toDF("key_a", "ids_a"), "key_a")
-        .join(ids.toDF("key_b", "ids_b"), "key_b")
-        .select("ids_b", F.explode("ids_a").alias("x"), "overlap", (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("jaccard"))
-        .select("x", F.explode("ids_b").alias("y"), "overlap", "jaccard")
-        .filter("x <> y")
-        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", "jaccard")
-    )
-    return across.unionByName(within)
+    keys = join.scratch.table(join.keys, "keys")
+    classes = keys.groupBy("root").agg(F.min("low_id").alias("class_id"))
+    of = keys.join(classes, "root").select(F.col("key").alias("_key"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return join.members.join(of, "_key", "left").select(F.col("_id").alias("doc_id"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -269,14 +308,16 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, least: float = 0.5, id_col
     """The documents without near copies: of each group linked by pairs of enough similarity, the lowest doc_id stays.
 
     All columns and documents outside of groups stay as they are; a null text or a
-    text without words, and a null doc_id, are in no group.  Repeated rows of one doc_id
-    with equal texts all stay if the group's choice is that doc_id and text, else none.
+    text without words, and a null doc_id, are in no group.  Of repeated rows of one doc_id
+    and text, which are copies, too, one stays; of several texts of the lowest doc_id in a group, one.
     """
     join = _Join(docs, n, least, id_col, text_col)
-    roots = components(join.scratch, join.pairs(True))
-    ids = join.ids.join(roots, F.col("_key") == F.col("key"), "left").select(F.coalesce("root", "_key").alias("root"), "_ids", "_key")
-    groups = ids.select("root", "_key", F.explode("_ids").alias("_id")).withColumn("keep", F.row_number().over(Window.partitionBy("root").orderBy("_id", "_key")) == 1)
-    goes = join.scratch.table(groups.filter("not keep").select("_id", "_key").distinct(), "goes")
-    own_id, own_key = fresh(docs.columns, "id"), fresh(docs.columns, "key")
-    stays = docs.withColumns({own_id: F.col(f"`{id_col}`").cast("long"), own_key: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    return stays.join(goes.toDF(own_id, own_key), [own_id, own_key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = join.scratch.table(join.keys, "keys")
+    stay = keys.groupBy("root").agg(F.min(F.struct("low_id", "key")).alias("first")).select(F.col("first.key").alias("_key"), F.col("first.low_id").alias("_low"))
+    goes = join.scratch.table(join.members.filter("_words").join(stay, "_key", "left").filter("_low is null or _low <> _id").select("_id", "_key"), "goes")
+    own_id, own_key, nth = (fresh(docs.columns, c) for c in ("id", "key", "nth"))
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    grouped = F.coalesce(id_.isNotNull() & text.rlike(HAS_WORDS), F.lit(False))
+    stays = docs.filter(grouped).withColumns({own_id: id_, own_key: F.xxhash64(text)}).join(goes.toDF(own_id, own_key), [own_id, own_key], "left_anti")
+    once = stays.withColumn(nth, F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(own_id))).filter(F.col(nth) == 1)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(~grouped))

@@ -1,5 +1,10 @@
 """op10 against all pairs of gram sets."""
 
+import random
+
+import numpy as np
+import pytest
+
 from glyphmill.llm import ngram_join
 
 from . import cases
@@ -32,11 +37,63 @@ def varied():
     return rows
 
 
-def test_pairs_equal_brute_force(spark):
+def linked(rows, n, least):
+    """(doc_id, class, links) of each distinct document, from all pairs of them."""
+    own = sorted({(k, t) for k, t in rows if k is not None}, key=repr)
+    sets, parent, links = [grams(t, n) for _, t in own], list(range(len(own))), [0] * len(own)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(own)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    lowest = {}
+    for i, (k, _) in enumerate(own):
+        lowest[root(i)] = min(k, lowest.get(root(i), k))
+    return sorted((k, lowest[root(i)], links[i]) for i, (k, _) in enumerate(own))
+
+
+def test_classes_and_links_equal_brute_force(spark):
     for n, least in ((3, 0.5), (1, 0.8), (5, 0.3), (3, 1.0)):
-        got = ngram_join.jaccard_pairs(cases.frame(spark, varied()), n, least).collect()
-        found = [(r.doc_a, r.doc_b, r.overlap, round(r.jaccard, 9)) for r in got]
-        assert len(found) == len(set(found)) and set(found) == brute(varied(), n, least)
+        got = ngram_join.linked_documents(cases.frame(spark, varied()), n, least).collect()
+        assert sorted(tuple(r) for r in got) == linked(varied(), n, least)
+
+
+def crossed(seed=5):
+    """Families, passages of half a text that tie them together, and copies."""
+    rng = random.Random(seed)
+    parts = [cases.made(30, 500 + k).split() for k in range(12)]
+    rows = []
+    for k in range(160):
+        w = [x for p in rng.sample(range(12), rng.choice([1, 2, 2, 3])) for x in parts[p]]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(50)}"
+        rows.append((1000 + k, " ".join(w)))
+    return rows + [(2000 + k, rows[k % 7][1]) for k in range(30)]
+
+
+@pytest.mark.parametrize("unit, rounds", [(4096, 2), (4096, 0), (12, 2), (8, 1), (2, 2)])
+def test_units_of_every_size_lose_no_link(spark, monkeypatch, unit, rounds):
+    monkeypatch.setattr(ngram_join, "UNIT", unit)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    got = ngram_join.linked_documents(cases.frame(spark, crossed()), 3, 0.5).collect()
+    assert sorted(tuple(r) for r in got) == linked(crossed(), 3, 0.5)
+
+
+def test_overlaps_of_all_and_of_two_blocks(monkeypatch):
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 7)
+    rng = np.random.default_rng(2)
+    ids = [rng.choice(90, rng.integers(0, 40), replace=False).astype(np.int64) for _ in range(25)]
+    expected = np.array([[len(np.intersect1d(a, b)) for b in ids] for a in ids])
+    whole = ngram_join.overlaps(ids, 25)
+    np.fill_diagonal(whole, 0), np.fill_diagonal(expected, 0)
+    assert (whole == expected).all() and (ngram_join.overlaps(ids, 9) == expected[:9, 9:]).all()
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -67,5 +124,5 @@ def test_other_columns_stay(spark):
 
 
 def test_empty_table(spark):
-    assert ngram_join.jaccard_pairs(cases.empty(spark)).collect() == []
+    assert ngram_join.linked_documents(cases.empty(spark)).collect() == []
     assert ngram_join.drop_near_duplicates(cases.empty(spark)).collect() == []
