@@ -50,9 +50,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, records: int = 1000) -> DataFrame:
+        """Written and read again; `records` bounds the rows of an Arrow batch, for rows that are large."""
         path = f"{self.root}/{name}"
-        with _conf(self.spark, {CLEANUP: "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        with _conf(self.spark, {CLEANUP: "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.execution.arrow.maxRecordsPerBatch": str(records)}):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
