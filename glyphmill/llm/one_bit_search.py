@@ -1,12 +1,15 @@
-"""Nearest neighbours of every vector by randomly rotated one-bit codes.
-
-Vectors are normalised and clustered; a residual to its centre is rotated at random and
-kept as one sign bit a dimension with two scalars: the residual's length and its inner
-product with the code.  A query's rotated residual is quantised to 4 bits, its inner
-product with a code is 4 popcounts, and the code's scalar turns that into an estimate
-with an error bound.  Vectors whose lower bound of distance beats the query's
-k-th best so far are reranked exactly.  Blocks of a cluster that no query of
-a block can gain from, by the triangle inequality, are never joined.
+"""Nearest neighbours of a query set by randomly rotated one-bit codes.
+
+Vectors are normalised and given to centres that were fitted on a bounded sample; a residual
+to its centre is rotated at random and kept as one sign bit a dimension with two scalars: the
+residual's length and its inner product with the code.  A query's rotated residual is
+quantised to 4 bits, its inner product with a code is 4 popcounts, and the code's scalar turns
+that into an estimate with an error bound.  Vectors whose lower bound of distance beats the
+query's k-th best so far are reranked exactly.
+
+Every vector is in the index.  Queries and vectors travel in blocks; a block of queries
+first searches one block of its own centre, which bounds its k-th best, and then the blocks
+that the triangle inequality doesn't rule out.
 """
 
 from __future__ import annotations
@@ -15,17 +18,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .words import settle
 
-BLOCK = 4096
+BLOCK, QUERIES = 8192, 2048
+CENTRES, SAMPLE = 1024, 1 << 16
 TILE = 128
 PLANES = 4
-BLOCKS = "block long, cluster long, n long, radius double, worst double, centre array<float>, ids binary, vectors binary, best_ids binary, best binary"
-PART = "block long, best_ids binary, best binary, ids binary"
+BLOCKS = "block long, cluster long, centre array<float>, radius double, ids binary, vectors binary"
+BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("cluster", pa.int64()), ("centre", pa.list_(pa.float32())), ("radius", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
+FOUND_ARROW = pa.schema([("vec_id", pa.int64()), ("neighbour_id", pa.int64()), ("similarity", pa.float32())])
+FOUND = "vec_id long, neighbour_id long, similarity float"
 
 
 def rotation(d: int, seed: int = 11) -> np.ndarray:
@@ -71,115 +77,96 @@ class Codes:
         return length[:, None] ** 2 + self.length[None, :] ** 2 - 2 * length[:, None] * self.length[None, :] * np.minimum(estimate, 1)
 
 
-def rerank(queries, query_ids, worst, vectors, ids, bound, k, best_ids, best):
-    """Exact distances of the pairs whose bound beats the query's k-th best; merges them into the best."""
-    row, column = np.nonzero(bound <= worst[:, None])
+def exact(queries, query_ids, vectors, ids, allowed):
+    """(query, vector, similarity) of the allowed pairs without those of one id, sorted by query, falling similarity, id."""
+    row, column = np.nonzero(allowed)
     other = query_ids[row] != ids[column]
     row, column = row[other], column[other]
-    exact = np.empty(len(row), np.float32)
+    found = np.empty(len(row), np.float32)
     for a in range(0, len(row), 1 << 16):
-        exact[a : a + (1 << 16)] = np.einsum("ij,ij->i", queries[row[a : a + (1 << 16)]], vectors[column[a : a + (1 << 16)]])
-    merge(row, exact, ids[column], k, best_ids, best)
-
-
-def merge(row, similarity, ids, k, best_ids, best):
-    """Into each row's k best (similarity falling, id rising); -inf marks free places."""
-    if not len(row):
-        return
-    rows = np.unique(row)
-    old = np.repeat(rows, k)
-    row, similarity, ids = np.concatenate([row, old]), np.concatenate([similarity, best[rows].ravel()]), np.concatenate([ids, best_ids[rows].ravel()])
-    order = np.lexsort((ids, -similarity, row))
-    row, similarity, ids = row[order], similarity[order], ids[order]
-    first = np.searchsorted(row, rows)
-    for c in range(k):
-        best_ids[rows, c], best[rows, c] = ids[first + c], similarity[first + c]
-
-
-def search(queries, query_ids, vectors, ids, centre, turn, k, best_ids, best, sure):
-    """Improve the k best of each query by one block of vectors."""
+        found[a : a + (1 << 16)] = np.einsum("ij,ij->i", queries[row[a : a + (1 << 16)]], vectors[column[a : a + (1 << 16)]])
+    order = np.lexsort((ids[column], -found, row))
+    return row[order], column[order], found[order]
+
+
+def best(row, k: int) -> np.ndarray:
+    """Which entries of sorted rows are among the first k of their row."""
+    return np.arange(len(row)) - np.searchsorted(row, row) < k
+
+
+def search(queries, query_ids, worst, vectors, ids, centre, turn, k, sure):
+    """(query, vector, similarity): of each query up to k vectors of a block, at least as similar as the query's k-th best so far (-inf: none yet)."""
     codes = Codes(vectors, centre, turn)
     radius = codes.length.max() if len(codes.length) else 0.0
     far = np.linalg.norm(queries - centre, axis=1) - radius
-    limit = np.sqrt(np.maximum(2 - 2 * best[:, -1].astype(np.float64), 0)) + 1e-5
-    need = np.flatnonzero(far <= limit)
+    need = np.flatnonzero(far <= np.sqrt(np.maximum(2 - 2 * worst.astype(np.float64), 0)) + 1e-5)
+    out = []
     for a in range(0, len(need), TILE):
         rows = need[a : a + TILE]
         bound = codes.bounds(queries[rows], centre, turn, sure)
-        own_ids, own = best_ids[rows], best[rows]
-        if np.isneginf(own[:, -1]).any():  # no k-th best yet: the nearest by estimate give one
+        limit = worst[rows].astype(np.float64)
+        if np.isneginf(limit).any():  # no k-th best yet: the nearest by estimate give one
             near = np.argpartition(bound, min(4 * k, bound.shape[1] - 1), axis=1)[:, : 4 * k]
-            first = np.full_like(bound, np.inf)
-            np.put_along_axis(first, near, 0, axis=1)
-            rerank(queries[rows], query_ids[rows], np.ones(len(rows)), vectors, ids, first, k, own_ids, own)
-            own_ids[:], own_worst = np.iinfo(np.int64).max, own[:, -1].copy()
-            own[:] = -np.inf
-        else:
-            own_worst = own[:, -1]
-        worst = np.where(np.isneginf(own_worst), np.inf, 2 - 2 * own_worst.astype(np.float64)) + 1e-5
-        rerank(queries[rows], query_ids[rows], worst, vectors, ids, bound, k, own_ids, own)
-        best_ids[rows], best[rows] = own_ids, own
-
-
-def _blobs(row, d):
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
-
-
-def _centres(own: DataFrame, d: int, count: int, rounds: int = 3) -> np.ndarray:
-    """Lloyd's rounds over all vectors, from the vectors of the lowest hashes."""
-    spark = own.sparkSession
-    centres = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(count).select("v").collect()], np.float32)
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, near, True, axis=1)
+            row, _, found = exact(queries[rows], query_ids[rows], vectors, ids, first)
+            last = (np.arange(len(row)) - np.searchsorted(row, row)) == k - 1
+            limit[row[last]] = np.maximum(limit[row[last]], found[last])
+        row, column, found = exact(queries[rows], query_ids[rows], vectors, ids, bound <= np.where(np.isneginf(limit), np.inf, 2 - 2 * limit + 1e-5)[:, None])
+        good = best(row, k) & (found >= worst[rows][row])
+        out.append((rows[row[good]], column[good], found[good]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
+def fitted(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
+    """Lloyd's rounds over the sample, from its first vectors."""
+    centres = sample[:count].copy()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(centres)
-
-        def run(batches, shared=shared):
-            sums, n = np.zeros(shared.value.shape), np.zeros(len(shared.value), np.int64)
-            for batch in batches:
-                x = batch.column(1).flatten().to_numpy().reshape(-1, d)
-                near = (x @ shared.value.T - (shared.value**2).sum(axis=1) / 2).argmax(axis=1)
-                np.add.at(sums, near, x)
-                n += np.bincount(near, minlength=len(n))
-            have = np.flatnonzero(n)
-            if len(have):
-                yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(n[have]), pa.array(list(sums[have]), pa.list_(pa.float64()))], names=["c", "n", "s"])
-
-        parts = own.select("id", "v").mapInArrow(run, "c long, n long, s array<double>").select("c", "n", F.posexplode("s").alias("j", "x"))
-        for r in parts.groupBy("c", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect():
-            centres[r.c, r.j] = r.x / r.n
+        near = nearest(sample, centres)
+        n = np.bincount(near, minlength=count)
+        total = np.zeros(centres.shape)
+        np.add.at(total, near, sample)
+        centres[n > 0] = (total[n > 0] / n[n > 0, None]).astype(np.float32)
     return centres
 
 
-def _make_blocks(d, centres, turn, k, sure):
-    def run(table: pa.Table) -> pa.Table:
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(axis=1) / 2
+    return np.concatenate([(x[a : a + 4096] @ centres.T - half).argmax(axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
+def _matrix(column, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(-1, d)
+
+
+def _blocks(rows: DataFrame, d: int, centres, size: int) -> DataFrame:
+    """The rows (id, v) in blocks of about `size` of one cluster."""
+
+    def assign(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(_matrix(batch.column(1), d), centres.value))], names=["id", "v", "cluster"])
+
+    def block(table: pa.Table) -> pa.Table:
         settle()
-        cluster, salt = table["cluster"][0].as_py(), table["salt"][0].as_py()
         table = table.sort_by("id")
-        ids = table["id"].to_numpy()
-        x = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float32)
-        centre, out = centres.value[cluster], []
-        for number, a in enumerate(range(0, len(ids), BLOCK)):
-            v, i = np.ascontiguousarray(x[a : a + BLOCK]), ids[a : a + BLOCK]
-            best_ids, best = np.full((len(i), k), np.iinfo(np.int64).max), np.full((len(i), k), -np.inf, np.float32)
-            search(v, i, v, i, centre, turn, k, best_ids, best, sure)
-            worst = best[:, -1].astype(np.float64)
-            out.append(
-                {
-                    "block": (cluster << 40) | (salt << 20) | number, "cluster": cluster, "n": len(i), "radius": float(np.linalg.norm(v - centre, axis=1).max()),
-                    "worst": float(np.sqrt(np.maximum(2 - 2 * worst, 0)).max()) if np.isfinite(worst).all() else 1e9,
-                    "centre": centre.tolist(), "ids": i.tobytes(), "vectors": v.tobytes(), "best_ids": best_ids.tobytes(), "best": best.tobytes(),
-                }
-            )
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("cluster", pa.int64()), ("n", pa.int64()), ("radius", pa.float64()), ("worst", pa.float64()), ("centre", pa.list_(pa.float32())), ("ids", pa.binary()), ("vectors", pa.binary()), ("best_ids", pa.binary()), ("best", pa.binary())]))
-
-    return run
-
-
-def neighbours(vectors: DataFrame, k: int = 10, sure: float = 2.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k vectors of largest cosine similarity to each vector, itself excluded.
-
-    Returns (vec_id, rank, neighbour_id, similarity), rank from 1; ties go to the lower
-    id.  `sure` is the error bound in standard deviations of the estimate: 2.5 finds
-    more than 0.99 of the true neighbours.
+        cluster, x = table["cluster"][0].as_py(), np.ascontiguousarray(_matrix(table["v"], d), np.float32)
+        centre = centres.value[cluster]
+        return pa.Table.from_pylist([{"block": cluster << 32 | table["salt"][0].as_py(), "cluster": cluster, "centre": centre.tolist(), "radius": float(np.linalg.norm(x - centre, axis=1).max()), "ids": table["id"].to_numpy().tobytes(), "vectors": x.tobytes()}], BLOCKS_ARROW)
+
+    assigned = rows.mapInArrow(assign, "id long, v array<float>, cluster long")
+    parts = assigned.groupBy("cluster").agg(F.ceil(F.count("*") / size).alias("parts"))
+    salted = assigned.join(F.broadcast(parts), "cluster").withColumn("salt", F.pmod(F.xxhash64("id"), "parts"))  # a row a centre, at most CENTRES
+    return salted.select("id", "v", "cluster", "salt").groupBy("cluster", "salt").applyInArrow(block, BLOCKS)
+
+
+def neighbours(vectors: DataFrame, k: int = 10, every: int = 20, sure: float = 2.5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+    """The k vectors of largest cosine similarity to each query, itself excluded, among all vectors.
+
+    Queries are the rows whose id is divisible by `every`.  Returns (vec_id, rank, neighbour_id,
+    similarity), rank from 1; ties go to the lower id.  `sure` is the error bound in standard
+    deviations of the estimate: 2.5 finds more than 0.99 of the true neighbours.  The centres are
+    fitted on the `sample` vectors of the lowest hashes; all vectors are indexed.
 
     Rows with a null id, or a null, empty, zero or not finite vector, or one of another length than the
     most frequent, are left out.  Of several vectors of one id the least counts.  With
@@ -187,67 +174,62 @@ def neighbours(vectors: DataFrame, k: int = 10, sure: float = 2.5, id_col: str =
     gives an empty result.
     """
     spark = vectors.sparkSession
-    result = "vec_id long, rank long, neighbour_id long, similarity double"
     own = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     own = own.withColumn("l", F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))")).filter("l > 0")
     sizes = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "vec_id long, rank long, neighbour_id long, similarity double")
     d, total = sizes["d"], sizes["count"]
     scratch = Scratch(spark)
     unit = own.filter(F.size("v") == d).groupBy("id").agg(F.min(F.struct("v", "l")).alias("x")).select("id", F.expr("transform(x.v, y -> cast(y / x.l as float))").alias("v"))
     unit = scratch.table(unit, "unit")
-    centres = _centres(unit, d, min(4096, -(-total // BLOCK)))
-    shared, turn = spark.sparkContext.broadcast(centres), rotation(d)
-
-    def assign(batches):
+    chosen = [r.v for r in unit.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toLocalIterator()]
+    centres = spark.sparkContext.broadcast(fitted(np.array(chosen, np.float32), min(CENTRES, len(chosen), -(-total // (2 * BLOCK)))))
+    turn = rotation(d)
+    # of equal vectors only the k + 1 lowest ids can be anyone's neighbours; a limited rank is cut before the shuffle
+    distinct = unit.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("nth") <= k + 1).select("id", "v")
+    data = scratch.table(_blocks(distinct, d, centres, BLOCK), "blocks")
+    asked = scratch.table(_blocks(unit.filter(F.col("id") % every == 0), d, centres, QUERIES), "asked")
+    query = asked.select(F.col("block").alias("qb"), F.col("cluster"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
+    block = data.select(F.col("block").alias("db"), "centre", F.col("radius").alias("dr"), "ids", "vectors")
+
+    def blobs(row):
+        return np.frombuffer(row["qi"], np.int64), np.frombuffer(row["qv"], np.float32).reshape(-1, d), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d), np.array(row["centre"], np.float32)
+
+    def begin(batches):
+        """The k best in one block of the query's own centre, or any, and their k-th similarity."""
+        settle()
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, d)
-            near = (x @ shared.value.T - (shared.value**2).sum(axis=1) / 2).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=["id", "v", "cluster"])
-
-    assigned = unit.mapInArrow(assign, "id long, v array<float>, cluster long")
-    salts = assigned.groupBy("cluster").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("parts"))
-    salted = assigned.join(F.broadcast(salts), "cluster").withColumn("salt", F.pmod(F.xxhash64("id"), "parts")).select("id", "v", "cluster", "salt")  # at most 4096 rows of salts
-    blocks = scratch.table(salted.groupBy("cluster", "salt").applyInArrow(_make_blocks(d, shared, turn, k, sure), BLOCKS), "blocks")
-    query = blocks.select(F.col("block").alias("qb"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), "worst")
-    data = blocks.select(F.col("block").alias("db"), F.col("centre").alias("dc"), F.col("radius").alias("dr"))
-    apart = F.sqrt(F.aggregate(F.zip_with("qc", "dc", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    pairs = query.crossJoin(data).filter((F.col("qb") != F.col("db")) & (apart - F.col("qr") - F.col("dr") <= F.col("worst") + 1e-4)).select("qb", "db")
-    joined = (
-        pairs.repartition("qb", "db")
-        .join(blocks.select(F.col("block").alias("qb"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"), "best_ids", "best"), "qb")
-        .join(blocks.select(F.col("block").alias("db"), "centre", "ids", "vectors"), "db")
-        .select("qb", "qi", "qv", "best_ids", "best", "centre", "ids", "vectors")
-    )
+            for row in batch.to_pylist():
+                qi, qv, ids, x, centre = blobs(row)
+                q, c, found = search(qv, qi, np.full(len(qi), -np.inf, np.float32), x, ids, centre, turn, k, sure)
+                worst, last = np.full(len(qi), -np.inf, np.float32), (np.arange(len(q)) - np.searchsorted(q, q)) == k - 1
+                worst[q[last]] = found[last]
+                yield pa.RecordBatch.from_pylist([{"qb": row["qb"], "first": row["db"], "worst": worst.tobytes(), "limit": float(np.sqrt(np.maximum(2 - 2 * worst.astype(np.float64), 0)).max()), "q": qi[q].tobytes(), "c": ids[c].tobytes(), "s": found.tobytes()}], pa.schema([("qb", pa.int64()), ("first", pa.int64()), ("worst", pa.binary()), ("limit", pa.float64()), ("q", pa.binary()), ("c", pa.binary()), ("s", pa.binary())]))
+
+    home = data.groupBy("cluster").agg(F.min("block").alias("db"))  # a row a centre
+    some = home.agg(F.min("db").alias("any"))
+    started = query.join(F.broadcast(home), "cluster", "left").crossJoin(F.broadcast(some)).withColumn("db", F.coalesce("db", "any")).join(block, "db")
+    begun = scratch.table(started.select("qb", "db", "qi", "qv", "ids", "vectors", "centre").mapInArrow(begin, "qb long, first long, worst binary, limit double, q binary, c binary, s binary"), "begun", records=4)
+    reach = query.select("qb", "qc", "qr").join(begun.select("qb", "first", "limit"), "qb")
+    apart = F.sqrt(F.aggregate(F.zip_with("qc", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    pairs = reach.crossJoin(block.select("db", "centre", "dr")).filter((F.col("first") != F.col("db")) & (apart - F.col("qr") - F.col("dr") <= F.col("limit") + 1e-4)).select("qb", "db")  # the numbers of blocks, the queries against all rows
+    joined = pairs.repartition("qb", "db").join(query.select("qb", "qi", "qv").join(begun.select("qb", "worst"), "qb"), "qb").join(block, "db")
 
     def improve(batches):
         settle()
         for batch in batches:
             for row in batch.to_pylist():
-                qi, qv = np.frombuffer(row["qi"], np.int64), np.frombuffer(row["qv"], np.float32).reshape(-1, d)
-                best_ids, best = np.frombuffer(row["best_ids"], np.int64).reshape(-1, k).copy(), np.frombuffer(row["best"], np.float32).reshape(-1, k).copy()
-                before = best.copy()
-                ids, x = _blobs(row, d)
-                search(qv, qi, x, ids, np.array(row["centre"], np.float32), turn, k, best_ids, best, sure)
-                changed = np.flatnonzero((best != before).any(axis=1))
-                if len(changed):
-                    yield pa.RecordBatch.from_pylist([{"block": row["qb"], "best_ids": best_ids[changed].tobytes(), "best": best[changed].tobytes(), "ids": qi[changed].tobytes()}], pa.schema([("block", pa.int64()), ("best_ids", pa.binary()), ("best", pa.binary()), ("ids", pa.binary())]))
-
-    def finish(table: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.repeat(np.frombuffer(b, np.int64), k) for b in table["ids"].to_pylist()])
-        near = np.concatenate([np.frombuffer(b, np.int64) for b in table["best_ids"].to_pylist()])
-        best = np.concatenate([np.frombuffer(b, np.float32) for b in table["best"].to_pylist()])
-        real = np.isfinite(best)
-        order = np.lexsort((near[real], -best[real], ids[real]))
-        ids, near, best = ids[real][order], near[real][order], best[real][order]
-        same = np.zeros(len(ids), bool)
-        same[1:] = (ids[1:] == ids[:-1]) & (near[1:] == near[:-1])
-        ids, near, best = ids[~same], near[~same], best[~same]
-        first = np.searchsorted(ids, ids)
-        rank = np.arange(len(ids)) - first + 1
-        top = rank <= k
-        return pa.table({"vec_id": ids[top], "rank": rank[top], "neighbour_id": near[top], "similarity": best[top].astype(np.float64)})
-
-    improved = scratch.table(joined.mapInArrow(improve, PART), "improved")
-    return blocks.select("block", "best_ids", "best", "ids").unionByName(improved).groupBy("block").applyInArrow(finish, result)
+                qi, qv, ids, x, centre = blobs(row)
+                q, c, found = search(qv, qi, np.frombuffer(row["worst"], np.float32), x, ids, centre, turn, k, sure)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[q]), pa.array(ids[c]), pa.array(found)], schema=FOUND_ARROW)
+
+    def unpack(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["q"], np.int64)), pa.array(np.frombuffer(row["c"], np.int64)), pa.array(np.frombuffer(row["s"], np.float32))], schema=FOUND_ARROW)
+
+    improved = scratch.table(joined.select("qb", "qi", "qv", "worst", "ids", "vectors", "centre").mapInArrow(improve, FOUND), "improved", records=4)
+    found = begun.select("q", "c", "s").mapInArrow(unpack, FOUND).unionByName(improved)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))).filter(F.col("rank") <= k)
+    return ranked.select("vec_id", F.col("rank").cast("long").alias("rank"), "neighbour_id", F.col("similarity").cast("double").alias("similarity"))
