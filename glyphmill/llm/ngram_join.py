@@ -8,14 +8,17 @@ the order is cut into cells that hold all grams of one level and family.
 Two documents of Jaccard t or more share a gram among the first
 n - ceil(t n) + 1 of each.  Documents that have none which another document
 shares drop out, however popular the passages in the rest of their text are; the
-others belong to the cells of these grams.  Documents take the largest cell near them
-as their label, and those of one label are one unit, to which each sends its grams
-once.  A cell whose documents don't all have one label is a unit, too, so
-no pair is lost; one of too many documents is cut into blocks, whose pairs are units.
-
-In a unit the order is cut into fragments.  Each counts the overlaps of the documents
-that have grams in it, and they are summed per pair.  A unit gives a number of links for each
-document and the edges of a forest, never its pairs, so the output follows the input.
+others belong to the cells of their grams.  A cell of few documents is a fragment of its
+own: it counts how many grams a pair can share in it at most, these are summed per pair, and pairs that
+can't reach t, as most that only share a passage, end there.
+
+Pairs that can, and cells of many documents, are settled in units.  Documents take the largest
+cell near them as their label, and those of one label are one unit, to which each sends its
+grams once.  A cell or pair whose documents don't all have one label is a unit, too, so nothing is
+lost; one of too many documents is cut into blocks, whose pairs are units.  In a unit the order is
+cut into fragments again; each counts the overlaps of the documents that have grams in it,
+and they are summed per pair.  A unit gives a number of links for each document and
+the edges of a forest, never its pairs, so the output follows the input.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ from .blobs import ARROW, STREAM, bucket_bits, fresh, gather, rows, runs, split,
 from .words import U, Words, chunks, mix, window_hashes
 
 SEEN = np.dtype([("level", np.uint8), ("cell", np.uint32)])
-LIST = "key long, n int, cells array<long>, low binary, high binary"
-LIST_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("cells", pa.list_(pa.int64())), ("low", pa.binary()), ("high", pa.binary())])
+LIST = "key long, n int, cells array<long>, counts array<int>, firsts array<boolean>, low binary, high binary"
+LIST_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("cells", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("firsts", pa.list_(pa.bool_())), ("low", pa.binary()), ("high", pa.binary())])
 FOUND = "key long, other long, links long"
 FRAGMENT, ROWS = 1024, 512
-UNIT = 4096
+UNIT, FEW = 4096, 16
 ROUNDS = 2
 HAS_WORDS = "[^\\t-\\r ]"
 
@@ -99,7 +102,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
 
 
 def _lists(least: float):
-    """At a chunk: the documents that can have a partner, with the cells of their first grams and all shared grams."""
+    """At a chunk: the documents that can have a partner, with their shared grams and these grams' cells: how many of them, and whether any is among the first."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = np.array(table["bucket"], np.int64)
@@ -118,8 +121,8 @@ def _lists(least: float):
             prefix = n - math.ceil(least * n - 1e-9) + 1 - (n - shared)
             if prefix <= 0:
                 continue
-            names = name[x : x + shared]
-            for k, v in (("key", int(key[doc[x]])), ("n", n), ("cells", np.unique(cell[x : x + min(prefix, shared)])), ("low", names.astype(np.uint32).tobytes()), ("high", (names >> U(48)).astype(np.uint16).tobytes())):
+            names, (begin, count) = name[x : x + shared], runs(cell[x : x + shared])
+            for k, v in (("key", int(key[doc[x]])), ("n", n), ("cells", cell[x + begin]), ("counts", count), ("firsts", begin < prefix), ("low", names.astype(np.uint32).tobytes()), ("high", (names >> U(48)).astype(np.uint16).tobytes())):
                 out[k].append(v)
         return pa.table(out, schema=LIST_ARROW)
 
@@ -238,21 +241,38 @@ class _Join:
         scratch.drop("texts")
         lists = scratch.table(shared.groupBy("chunk").applyInArrow(_lists(least), LIST), "lists")
         scratch.drop("shared")
-        sends = lists.join(self._routes(lists), "key").join(copies.select("key", "copies"), "key").withColumn("bucket", F.pmod(F.xxhash64("own", "unit", "i", "j"), F.lit(1 << bits)))
-        found = scratch.table(sends.drop("cells").groupBy("bucket").applyInArrow(_links(least), FOUND), "found")
-        scratch.drop("lists", "cells", "extra", *[f"label{k}" for k in range(ROUNDS + 1)])
+        sends = lists.join(self._routes(lists, least), "key").join(copies.select("key", "copies"), "key").withColumn("bucket", F.pmod(F.xxhash64("own", "unit", "i", "j"), F.lit(1 << bits)))
+        found = scratch.table(sends.drop("cells", "counts", "firsts").groupBy("bucket").applyInArrow(_links(least), FOUND), "found")
+        scratch.drop("lists", "near", "cells", "extra", *[f"label{k}" for k in range(ROUNDS + 1)])
         roots = components(scratch, found.filter("key <> other").toDF("key_a", "key_b", "links"))
         links = found.filter("key = other").groupBy("key").agg(F.sum("links").alias("links"))
         self.keys = copies.join(roots, "key", "left").join(links, "key", "left").select("key", "copies", "low_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
 
-    def _routes(self, lists: DataFrame) -> DataFrame:
+    def _cells(self, lists: DataFrame, least: float) -> DataFrame:
+        """(key, cell, docs): the cells of many documents, and each pair of fewer that may have enough in common as a cell of two."""
+        each = lists.select("key", "n", F.explode(F.arrays_zip("cells", "counts", "firsts")).alias("x")).select("key", "n", F.col("x.cells").alias("cell"), F.col("x.counts").alias("count"), F.col("x.firsts").alias("first"))
+        sizes = each.groupBy("cell").agg(F.count("*").alias("docs"), F.count_if("first").alias("firsts")).filter("docs > 1")
+        near = self.scratch.table(each.join(sizes, "cell"), "near")
+        many, few = near.filter(F.col("docs") > FEW), near.filter(F.col("docs") <= FEW)
+        rest = many.groupBy("key").agg(F.sum("count").alias("rest"))
+        a, b = (few.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "count", "first")]) for x in "ab")
+        pairs = a.join(b, "cell").filter((F.col("key_a") < F.col("key_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-6))
+        pairs = pairs.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.sum(F.least("count_a", "count_b")).alias("common"), F.max(F.col("first_a") & F.col("first_b")).alias("first")).filter("first")
+        for x in "ab":
+            pairs = pairs.join(rest.toDF(f"key_{x}", f"rest_{x}"), f"key_{x}", "left")
+        possible = F.col("common") + F.coalesce(F.least("rest_a", "rest_b"), F.lit(0)) * (F.col("rest_a").isNotNull() & F.col("rest_b").isNotNull()).cast("int")
+        close = pairs.filter(possible >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+        twos = close.select(F.explode(F.array("key_a", "key_b")).alias("key"), F.xxhash64("key_a", "key_b").alias("cell"), F.lit(2).cast("long").alias("docs"))
+        return many.filter("first and firsts > 1").select("key", "cell", F.col("firsts").alias("docs")).unionByName(twos)
+
+    def _routes(self, lists: DataFrame, least: float) -> DataFrame:
         """(key, own, unit, i, j, part, label, extra): the units of each document.
 
         The labels spread from cell to document and back in a fixed number of rounds.  A label of more than UNIT
         documents counts as none, and their cells are units.
         """
-        table, near = self.scratch.table, lists.select("key", F.explode("cells").alias("cell"))
-        cells = table(near.join(near.groupBy("cell").agg(F.count("*").alias("docs")).filter("docs > 1"), "cell"), "cells")
+        table = self.scratch.table
+        cells = table(self._cells(lists, least), "cells")
         label = table(cells.groupBy("key").agg(F.max(F.struct("docs", "cell")).alias("label")), "label0")
         for k in range(ROUNDS):
             best = cells.join(label, "key").groupBy("cell").agg(F.max("label").alias("label"))
