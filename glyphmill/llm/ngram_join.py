@@ -41,7 +41,7 @@ LIST = "key long, n int, cells array<long>, counts array<int>, firsts array<bool
 LIST_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("cells", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("firsts", pa.list_(pa.bool_())), ("low", pa.binary()), ("high", pa.binary())])
 FOUND = "key long, other long, links long"
 FRAGMENT, ROWS = 1024, 512
-UNIT, FEW = 4096, 16
+UNIT, FEW = 4096, 64
 ROUNDS = 2
 HAS_WORDS = "[^\\t-\\r ]"
 
@@ -243,7 +243,7 @@ class _Join:
         scratch.drop("shared")
         sends = lists.join(self._routes(lists, least), "key").join(copies.select("key", "copies"), "key").withColumn("bucket", F.pmod(F.xxhash64("own", "unit", "i", "j"), F.lit(1 << bits)))
         found = scratch.table(sends.drop("cells", "counts", "firsts").groupBy("bucket").applyInArrow(_links(least), FOUND), "found")
-        scratch.drop("lists", "near", "cells", "extra", *[f"label{k}" for k in range(ROUNDS + 1)])
+        scratch.drop("lists", "near", "cells", "extra", "label", *[f"label{k}" for k in range(ROUNDS + 1)])
         roots = components(scratch, found.filter("key <> other").toDF("key_a", "key_b", "links"))
         links = found.filter("key = other").groupBy("key").agg(F.sum("links").alias("links"))
         self.keys = copies.join(roots, "key", "left").join(links, "key", "left").select("key", "copies", "low_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -268,17 +268,22 @@ class _Join:
     def _routes(self, lists: DataFrame, least: float) -> DataFrame:
         """(key, own, unit, i, j, part, label, extra): the units of each document.
 
-        The labels spread from cell to document and back in a fixed number of rounds.  A label of more than UNIT
-        documents counts as none, and their cells are units.
+        The labels spread from cell to document and back in a fixed number of rounds.  The documents of a label that
+        has more than UNIT of them take that of the round before; without any, their cells are units.
         """
         table = self.scratch.table
         cells = table(self._cells(lists, least), "cells")
-        label = table(cells.groupBy("key").agg(F.max(F.struct("docs", "cell")).alias("label")), "label0")
+        labels = [table(cells.groupBy("key").agg(F.max(F.struct("docs", "cell")).alias("label")), "label0")]
         for k in range(ROUNDS):
-            best = cells.join(label, "key").groupBy("cell").agg(F.max("label").alias("label"))
-            label = table(cells.join(best, "cell").groupBy("key").agg(F.max("label").alias("label")), f"label{k + 1}")
-        fits = label.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") <= UNIT)
-        label = label.join(fits, "label", "left").select("key", F.when(F.col("size").isNotNull(), F.col("label.cell")).alias("label"), "size")
+            best = cells.join(labels[-1], "key").groupBy("cell").agg(F.max("label").alias("label"))
+            labels.append(table(cells.join(best, "cell").groupBy("key").agg(F.max("label").alias("label")), f"label{k + 1}"))
+        label = None
+        for k, each in enumerate(labels):
+            fits = each.groupBy("label").agg(F.count("*").alias("size")).filter(F.col("size") <= UNIT)
+            each = each.join(fits.select("label"), "label", "left_semi").select("key", F.col("label.cell").alias(f"l{k}"))
+            label = each if label is None else label.join(each, "key", "full")
+        label = table(cells.select("key").distinct().join(label, "key", "left").select("key", F.coalesce(*[F.col(f"l{k}") for k in reversed(range(len(labels)))]).alias("label")), "label")
+        label = label.join(label.filter("label is not null").groupBy("label").agg(F.count("*").alias("size")), "label", "left")
         whole = cells.join(label, "key").groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.count("*").alias("docs"))
         rest = whole.filter("labelled < docs or low <> high").select("cell", "docs")
         extra = table(cells.select("key", "cell").join(rest, "cell"), "extra")
