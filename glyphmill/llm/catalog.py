@@ -85,7 +85,7 @@ QUERIES["op3_benchmark_decontamination"] = op3_benchmark_decontamination
 
 
 def op6_pii_pseudonyms(spark, sf_dir):
-    return pseudonyms.pseudonyms(_docs(spark, sf_dir).select("doc_id", "text"), count_col="n_replaced")
+    return pseudonyms.pseudonyms(_docs(spark, sf_dir).select("doc_id", "text"), pseudonyms.key_of(spark), count_col="n_replaced")
 
 
 QUERIES["op6_pii_pseudonyms"] = op6_pii_pseudonyms

@@ -11,34 +11,59 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import secrets
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import buffers, chunks, settle
+from .words import chunks, settle
 
 ROUNDS = 8
 EPOCH, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal() - dt.date(1900, 1, 1).toordinal() + 1
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key in the session's setting `spark.glyphmill.pseudonymKey`; without it a new one, kept in the session, so values are linked within its runs only."""
+    key = spark.conf.get("spark.glyphmill.pseudonymKey", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.glyphmill.pseudonymKey", key)
+    return key.encode()
+
+
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size)."""
+    """A keyed permutation of range(size), or its inverse (see Inverse)."""
     if size < 2:
         return value
     half = (max(2, (size - 1).bit_length()) + 1) // 2
     mask, width = (1 << half) - 1, (half + 7) // 8
+
+    def word(r, part):
+        head, need, out = b"%d|" % r + tweak.encode() + b"|" + part.to_bytes(width, "big"), width + 1, b""
+        while len(out) < need:  # a digest has at most 64 bytes
+            out += hashlib.blake2b(head + (b"|%d" % len(out) if out else b""), key=key[:64], digest_size=min(64, max(8, need - len(out)))).digest()
+        return int.from_bytes(out, "big") & mask
+
     while True:
         left, right = value >> half, value & mask
-        for r in range(ROUNDS):
-            word = hashlib.blake2b(b"%d|" % r + tweak.encode() + b"|" + right.to_bytes(width, "big"), key=key[:64], digest_size=max(8, width + 1)).digest()
-            left, right = right, left ^ (int.from_bytes(word, "big") & mask)
+        if isinstance(key, Inverse):
+            for r in reversed(range(ROUNDS)):
+                left, right = right ^ word(r, left), left
+        else:
+            for r in range(ROUNDS):
+                left, right = right, left ^ word(r, right)
         value = left << half | right
         if value < size:
             return value
 
 
+class Inverse(bytes):
+    """A key with which pseudonyms become the values again."""
+
+
 def mixed(text: str, key: bytes, kind: str) -> str:
     """Letters among letters (case kept), digits among digits, all else in place."""
     value, size, shape = 0, 1, []
@@ -100,7 +125,8 @@ def _phone(m, key):
     if m[0].startswith("+") and digits[0] == "1" and len(digits) == 11 or len(digits) == 11 and digits[0] == "1":
         country, digits = "1", digits[1:]
     elif m[0].startswith("+"):
-        country, digits = digits[:2], digits[2:]
+        n = 1 if digits[0] == "7" else 2 if digits[:2] in TWO_DIGITS else 3
+        country, digits = digits[:n], digits[n:]
         if not 5 <= len(digits) <= 13:
             return None
         return refill(m[0], country + str(permute(int(digits), 10 ** len(digits), key, f"phone{country}")).zfill(len(digits)))
@@ -111,6 +137,10 @@ def _phone(m, key):
     return refill(m[0], country + f"{area + low[0]:03d}{office + low[1]:03d}{line:04d}")
 
 
+#: country codes of two digits; 1 and 7 have one, all others three
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _address(m, key):
     parts = m[0].split(".")
     if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
@@ -128,20 +158,39 @@ def _social(m, key):
     return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
-def _date(order):
-    def run(m, key):
-        part = dict(zip(order, (m[1], m[3], m[4])))
-        try:
-            day = dt.date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal() - EPOCH
-        except ValueError:
-            return None
-        if not 0 <= day < DAYS:
-            return None
-        new = dt.date.fromordinal(permute(day, DAYS, key, "date") + EPOCH)
-        text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return m[2].join(text[o] for o in order)
+def _is_date(year: int, month: int, day: int) -> bool:
+    try:
+        return 1900 <= dt.date(year, month, day).year <= 2099
+    except ValueError:
+        return False
+
+
+def _date(m, key):
+    """Year first: a day among all days."""
+    if not _is_date(int(m[1]), int(m[3]), int(m[4])):
+        return None
+    day = dt.date(int(m[1]), int(m[3]), int(m[4])).toordinal() - EPOCH
+    new = dt.date.fromordinal(permute(day, DAYS, key, "date") + EPOCH)
+    return f"{new.year:04d}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
+
 
-    return run
+def _short_date(m, key):
+    """Year last: a text among all texts that are a date of the separator's orders; dots are day first, dashes month first, strokes either."""
+    orders = {".": "d", "-": "m", "/": "dm"}[m[2]]
+
+    def valid(a, b, year):
+        return "d" in orders and _is_date(year, b, a) or "m" in orders and _is_date(year, a, b)
+
+    a, b, year = int(m[1]), int(m[3]), int(m[4])
+    if not valid(a, b, year):
+        return None
+    size = 200 * 31 * 31
+    number = (year - 1900) * 961 + (a - 1) * 31 + b - 1
+    while True:  # cycle walking stays among the valid texts
+        number = permute(number, size, key, "date" + m[2])
+        year, a, b = number // 961 + 1900, number // 31 % 31 + 1, number % 31 + 1
+        if valid(a, b, year):
+            return f"{a:02d}{m[2]}{b:02d}{m[2]}{year:04d}"
 
 
 def _iban(m, key):
@@ -178,9 +227,8 @@ RULES = [
     (re.compile(r"(?<![\w])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\w])", re.A), _hexadecimal),
     (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A), _address),
     (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), _social),
-    (re.compile(r"(?<![\w/.-])(\d{4})([-/.])(\d{2})\2(\d{2})(?![\w/-])", re.A), _date("ymd")),
-    (re.compile(r"(?<![\w/.-])(\d{2})([./])(\d{2})\2(\d{4})(?![\w/-])", re.A), _date("dmy")),
-    (re.compile(r"(?<![\w/.-])(\d{2})([/-])(\d{2})\2(\d{4})(?![\w/-])", re.A), _date("mdy")),
+    (re.compile(r"(?<![\w/.-])(\d{4})([-/.])(\d{2})\2(\d{2})(?![\w/-])", re.A), _date),
+    (re.compile(r"(?<![\w/.-])(\d{2})([./-])(\d{2})\2(\d{4})(?![\w/-])", re.A), _short_date),
     (re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])", re.A), _card),
     (re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){1,5}(?:[ .-]\d{2,4})?(?![\w])", re.A), _phone),
     (re.compile(r"(?<![\w+.-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", re.A), _phone),
@@ -188,54 +236,52 @@ RULES = [
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
-    """The text with every valid value replaced, and how many were."""
-    taken: list[tuple[int, int, str]] = []
+    """The text with every valid value replaced, and how many were; where values overlap the earlier rule counts."""
+    taken: list[tuple[int, int, str]] = []  # in the order of the text
     for pattern, rule in RULES:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        found, k = [], 0
+        for m in pattern.finditer(text):  # matches and what is taken are both in order: one sweep
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k < len(taken) and taken[k][0] < m.end():
                 continue
             new = rule(m, key)
             if new is not None:
-                taken.append((m.start(), m.end(), new))
+                found.append((m.start(), m.end(), new))
+        if found:
+            taken = sorted(taken + found)
     if not taken:
         return text, 0
     out, at = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in taken:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), len(taken)
 
 
-_CANDIDATE = np.zeros(256, bool)
-_CANDIDATE[[*b"0123456789@"]] = True
-_SECRET = "(?i:password|passwd|pwd|secret|token|api_?key)[=:]|AKIA|ASIA|gh[po]_|sk-|xox[bp]-"  # how values that may be of letters only begin
-
-
 def replace_texts(column: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
-    """The column with pseudonyms; only texts with a digit, an at sign or the beginning of a secret are looked into, as no rule matches others."""
+    """The column with pseudonyms, and how many values each text had."""
     settle()
-    data, at = buffers(column)
-    marks = np.concatenate([[0], np.cumsum(_CANDIDATE[data[at[0] : at[-1]]], dtype=np.int64)])
-    marked = marks[at[1:] - at[0]] > marks[at[:-1] - at[0]]
-    rest = np.flatnonzero(~marked)
-    marked[rest] = pa.compute.match_substring_regex(column.take(pa.array(rest)), _SECRET).fill_null(False).to_numpy(zero_copy_only=False)
-    maybe = np.flatnonzero(marked)
     counts, changed, values = np.zeros(len(column), np.int64), np.zeros(len(column), bool), []
-    for k, text in zip(maybe.tolist(), column.take(pa.array(maybe)).to_pylist()):
-        new, counts[k] = pseudonymise(text, key)
-        if counts[k]:
-            changed[k] = True
-            values.append(new)
+    for k, text in enumerate(column.to_pylist()):
+        if text:
+            new, counts[k] = pseudonymise(text, key)
+            if counts[k]:
+                changed[k] = True
+                values.append(new)
     return pa.compute.replace_with_mask(column, pa.array(changed), pa.array(values, column.type)) if values else column, counts
 
 
-def pseudonyms(docs: DataFrame, key: bytes = b"glyphmill", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with pseudonyms in their texts; optionally a column with the number of values replaced.
 
+    `key` is the secret of the permutations; Inverse(key) gives the values back where rules don't overlap.
     Every pseudonym is as long as its value, so lengths and positions hold.  A null
     text stays null (0 values), an empty one empty; other columns and rows, repeated
     ones too, stay as they are; count_col must be a new name.
     """
+    if not key:
+        raise ValueError("the pseudonyms need a key")
     if count_col in docs.columns:
         raise ValueError(f"the documents have a column {count_col} of their own")
     at = docs.columns.index(text_col)
