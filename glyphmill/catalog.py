@@ -442,12 +442,57 @@ def sgns_pair_step(spark, sf_dir):
     return step.select("vec_id", mark(F.col("c"), F.col("o")).alias("center"), mark(F.col("o"), F.col("c")).alias("target"))
 
 
-@_add("model_roundtrip", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings)")
+@_add("model_roundtrip", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM embeddings")
 def model_roundtrip(spark, sf_dir):
-    """The vectors through the binary format; the sum of the last one's components."""
-    import numpy as np
+    """Every vector through the binary format, batch by batch; the sum of its components."""
 
-    w = np.array([r.embedding for r in _vectors(spark, sf_dir).orderBy("vec_id").collect()], np.float32)
-    w_in, w_out, _, _ = store.parse_model(store.dump_model(w, w, 1, 0.025))
-    last = store.model_frame(spark, w_in, w_out).filter(F.col("id") == len(w) - 1)
-    return last.select("id", (F.round(arrays.array_sum(F.col("w_in").cast("array<double>")), 4) + F.lit(0.0)).alias("total"))
+    def through(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            w = np.array(batch.column(1).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            w_in, w_out, _, _ = store.parse_model(store.dump_model(w, -w, 1, 0.025))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(((w_in - w_out) / 2).tolist(), pa.list_(pa.float32()))], names=["id", "w"])
+
+    back = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding").mapInArrow(through, "id long, w array<float>")
+    return back.select("id", (F.round(arrays.array_sum(F.col("w").cast("array<double>")), 4) + F.lit(0.0)).alias("total"))
+
+
+_NEG_SQL = "list_sum(list_transform({a}, lambda x, k: x * {b}[k]))"
+
+
+@_add(
+    "sgns_negative_steps",
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+t AS (SELECT a.vec_id, a.e AS c, b.e AS o, d.e AS n FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 JOIN v d ON d.vec_id = a.vec_id + 2),
+g0 AS (SELECT *, {DIM_RATE} * (1 - 1 / (1 + exp(-greatest(-20, least(20, {_NEG_SQL.format(a='c', b='o')}))))) AS p FROM t),
+g1 AS (SELECT *, -{DIM_RATE} / (1 + exp(-greatest(-20, least(20, {_NEG_SQL.format(a='c', b='n')})))) AS q FROM g0),
+n1 AS (SELECT *, list_transform(n, lambda x, k: x + q * c[k]) AS m FROM g1),
+g2 AS (SELECT *, -{DIM_RATE} / (1 + exp(-greatest(-20, least(20, {_NEG_SQL.format(a='c', b='m')})))) AS r FROM n1)
+SELECT vec_id, round(list_sum(list_transform(c, lambda x, k: (x + p * o[k] + q * n[k] + r * m[k]) * k)), 3) + 0.0 AS center,
+ round(list_sum(list_transform(m, lambda x, k: (x + r * c[k]) * k)), 3) + 0.0 AS negative FROM g2""",
+)
+def sgns_negative_steps(spark, sf_dir):
+    """A positive target and one negative drawn twice, so its second step starts where the first left it."""
+    own = _vectors(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("c"))
+    after = lambda n, name: own.select((F.col("vec_id") - n).alias("vec_id"), F.col("c").alias(name))
+    step = own.join(after(1, "o"), "vec_id").join(after(2, "n"), "vec_id")
+    step = step.withColumn("p", (1 - arrays.sigmoid(arrays.dot(F.col("c"), F.col("o")))) * DIM_RATE).withColumn("q", -arrays.sigmoid(arrays.dot(F.col("c"), F.col("n"))) * DIM_RATE)
+    step = step.withColumn("m", arrays.axpy(F.col("q"), F.col("c"), F.col("n"))).withColumn("r", -arrays.sigmoid(arrays.dot(F.col("c"), F.col("m"))) * DIM_RATE)
+    center = F.col("c")
+    for g, x in (("p", "o"), ("q", "n"), ("r", "m")):
+        center = arrays.axpy(F.col(g), F.col(x), center)
+    total = lambda a: F.round(arrays.array_sum(F.transform(a, lambda x, k: x * (k + 1))), 3) + F.lit(0.0)
+    return step.select("vec_id", total(center).alias("center"), total(arrays.axpy(F.col("r"), F.col("c"), F.col("m"))).alias("negative"))
+
+
+WIKITEXT = [
+    (1, "[[Harbour|the port]] and [[Quay]]", "the port and Quay"), (2, "before {{box {{inside}} x}}after", "before after"), (3, "== Ships ==", "Ships"), (4, "a '''bold''' and ''slanted'' word", "a bold and slanted word"),
+    (5, "claim<ref name=\"n\"/> holds", "claim holds"), (6, "claim<ref>source</ref> holds", "claim holds"), (7, "plain words", "plain words"), (8, "", ""),
+]
+
+
+@_add("strip_wikitext_cases", f"SELECT * FROM (VALUES {', '.join('(%d, %s)' % (k, chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39)) for k, _, t in WIKITEXT)}) AS v(id, text)")
+def strip_wikitext_cases(spark, sf_dir):
+    return spark.createDataFrame([(k, x) for k, x, _ in WIKITEXT], "id int, markup string").select("id", wiki.strip_wikitext(F.col("markup")).alias("text"))

@@ -36,6 +36,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _verbatim(argv: list[str]) -> list[str]:
+    """An option takes the next argument as it is, also one that begins with a dash."""
+    out, rest = [], list(argv)
+    while rest:
+        word = rest.pop(0)
+        option = len(word) > 2 and word.startswith("--") and "=" not in word and word != "--help"
+        out.append(f"{word}={rest.pop(0)}" if option and rest else word)
+    return out
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     top = parser()
@@ -43,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not argv or argv[0] not in names:
         top.print_help()
         return 0
-    a = top.parse_args(argv)
+    a = top.parse_args(_verbatim(argv))
     try:
         if a.command == "info":
             path = a.model or a.vocab or a.path

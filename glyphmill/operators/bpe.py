@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, pretokenize
-from ..scratch import Scratch
+from ..scratch import Scratch, Shared
 
 SPECIALS = ("[UNK]", "[PAD]", "[BOS]", "[EOS]")
 UNKNOWN = 0
@@ -242,7 +242,7 @@ class Encoder:
 
 def encode_column(tok: Column, spark: SparkSession, vocabulary: Vocabulary) -> Column:
     """array<int> of a pre-token; each worker batch encodes a distinct word once."""
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = Shared(spark, vocabulary)
 
     @F.pandas_udf("array<int>")
     def run(words: pd.Series) -> pd.Series:
@@ -265,7 +265,7 @@ def encode_native(tok: Column, vocabulary: Vocabulary) -> Column:
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each text in order, without a shuffle."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = Shared(spark, vocabulary)
 
     @F.pandas_udf("array<int>")
     def run(lists: pd.Series) -> pd.Series:

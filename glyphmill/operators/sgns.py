@@ -7,7 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, Shared
+
+MOST, LONGEST = 16, 0.5
+RANGE = 4096
+MOVES = "side int, part int, ids binary, d binary"
 
 
 def initial(vocab_size: int, dim: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -66,64 +70,120 @@ def train_exact(tokens: DataFrame, table: DataFrame, vocab_size: int, dim: int =
     return tokens.select("pos", "token_id", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "id int, w_in array<float>, w_out array<float>")
 
 
-def train(tokens: DataFrame, table: DataFrame, vocab_size: int, dim: int = 100, window: int = 5, n_neg: int = 5, rate: float = 0.025, epochs: int = 5, seed: int = 1, block: int = 1 << 16, stop=lambda: False):
-    """(w_in, w_out, losses): runs of positions train side by side, and an epoch's moves are summed by row, then averaged by use.
+def train(tokens: DataFrame, table: DataFrame, vocab_size: int, dim: int = 100, window: int = 5, n_neg: int = 5, rate: float = 0.025, epochs: int = 5, seed: int = 1, block: int = 1 << 16, stop=lambda: False, runs: int = 1024):
+    """(w_in, w_out, losses): runs of positions train side by side, and an epoch's moves are averaged by use.
 
-    Each run of `block` positions has a margin of `window` on both sides for its contexts.
-    Only rows that a run has touched are sent back.  Between epochs the model is on the
-    driver, which it must fit, as it must fit every worker; `stop` is asked there.
+    The stream is cut into blocks of `block` positions, each with a margin of `window` on both sides
+    for its contexts; at most `runs` runs take the blocks in turn, each on its own copy
+    of the model.  A run sends the rows that it moved once, as bytes by ranges of rows, whatever
+    its number of blocks.  Between epochs the model is on the driver, which it must fit, as
+    it must fit every worker; `stop` is asked there.
     """
     spark, slots = tokens.sparkSession, slot_array(table)
     w_in, w_out = initial(vocab_size, dim, seed)
     pos = F.col("pos")
-    homes = F.array_distinct(F.array(F.floor((pos - window) / block), F.floor(pos / block), F.floor((pos + window) / block)))
-    placed = Scratch(spark).table(tokens.select("pos", "token_id", F.explode(homes).alias("block")).repartition("block"), "blocks")
+    last = tokens.agg(F.max("pos")).first()[0]
+    runs = min(runs, (last or 0) // block + 1)
+    homes = F.array_distinct(F.array(F.greatest(F.floor((pos - window) / block), F.lit(0)), F.floor(pos / block), F.least(F.floor((pos + window) / block), F.lit((last or 0) // block))))
+    placed = tokens.select("pos", "token_id", F.explode(homes).alias("block")).withColumn("run", F.col("block") % runs)
+    placed = Scratch(spark).table(placed, "blocks")
     losses: list[float] = []
     for _ in range(epochs):
         if stop():
             break
-        shared = spark.sparkContext.broadcast((w_in, w_out, slots))
-
-        moves = placed.groupBy("block").applyInArrow(_epoch(shared, block, window, n_neg, rate), "side int, id int, d array<double>")
-        summed = moves.groupBy("side", "id").applyInArrow(_sum_moves, "side int, id int, n int, d array<double>").collect()
+        shared = Shared(spark, (w_in, w_out, slots))
+        ordered = placed.repartition(runs, "run").sortWithinPartitions("run", "block", "pos")
+        moves = ordered.select("run", "block", "pos", "token_id").mapInArrow(_epoch(shared, block, window, n_neg, rate), MOVES)
         w_in, w_out, loss = w_in.copy(), w_out.copy(), 0.0
-        for r in summed:
+        for r in moves.groupBy("side", "part").applyInArrow(_average, MOVES).toLocalIterator():
             if r.side == 2:
-                loss = r.d[0]
+                loss = float(np.frombuffer(r.d, np.float32).sum())
             else:
-                (w_in, w_out)[r.side][r.id] += np.array(r.d, np.float32) / np.float32(r.n)
+                (w_in, w_out)[r.side][np.frombuffer(r.ids, np.int32)] += np.frombuffer(r.d, np.float32).reshape(-1, dim)
         losses.append(loss)
     return w_in, w_out, losses
 
 
+def _moves(items: list[tuple]) -> pa.RecordBatch:
+    side, part, ids, d = zip(*items)
+    return pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(part, pa.int32()), pa.array(ids, pa.binary()), pa.array(d, pa.binary())], names=["side", "part", "ids", "d"])
+
+
 def _epoch(shared, block: int, window: int, n_neg: int, rate: float):
-    """At a run of positions: the moves of all rows that its pairs touch, and its loss as the row of side 2."""
-
-    def run(part: pa.Table) -> pa.Table:
-        a, b, slots = shared.value
-        a, b, part = a.copy(), b.copy(), part.sort_by("pos")
-        pos, ids, home = part["pos"].to_numpy(), part["token_id"].to_numpy(), part["block"][0].as_py()
-        own = (pos // block) == home
-        loss = _own_pass(a, b, pos, ids, own, slots, window, n_neg, rate)
-        rows = []
-        for side, new, old in ((0, a, shared.value[0]), (1, b, shared.value[1])):
-            moved = np.flatnonzero((new != old).any(axis=1))
-            rows += [(side, r, new[r] - old[r]) for r in moved.tolist()]
-        return pa.table(
-            {
-                "side": pa.array([2, *(r[0] for r in rows)], pa.int32()), "id": pa.array([0, *(r[1] for r in rows)], pa.int32()),
-                "d": pa.array([[loss], *(r[2].astype(np.float64).tolist() for r in rows)], pa.list_(pa.float64())),
-            }
-        )
+    """For each run: the moves of all rows that its pairs touch, by ranges of rows, and its loss as side 2."""
+
+    def run(batches):
+        now, held, model = (None, None), [], None
+
+        def train_block():
+            pos, ids = (np.concatenate(x) for x in zip(*held))
+            return _own_pass(*model, pos, ids, pos // block == now[1], shared.value[2], window, n_neg, rate)
+
+        def finish(loss):
+            out = [(2, 0, b"", np.array([loss], np.float32).tobytes())]
+            for side in (0, 1):
+                moved = np.flatnonzero((model[side] != shared.value[side]).any(axis=1)).astype(np.int32)
+                for x, n in zip(*(v.tolist() for v in _runs(moved // RANGE))):
+                    rows = moved[x : x + n]
+                    out.append((side, int(rows[0]) // RANGE, rows.tobytes(), (model[side][rows] - shared.value[side][rows]).tobytes()))
+            return _moves(out)
+
+        loss = 0.0
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(4)]
+            for x, n in zip(*(v.tolist() for v in _runs(columns[0], columns[1]))):
+                key = (int(columns[0][x]), int(columns[1][x]))
+                if key != now:
+                    if held:
+                        loss += train_block()
+                    if key[0] != now[0]:
+                        if model is not None:
+                            yield finish(loss)
+                        model, loss = [w.copy() for w in shared.value[:2]], 0.0
+                    now, held = key, []
+                held.append((columns[2][x : x + n], columns[3][x : x + n]))
+        if held:
+            loss += train_block()
+            yield finish(loss)
 
     return run
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
+def _average(part: pa.Table) -> pa.Table:
+    """Of a range of rows, each row's moves averaged over the runs that moved it; of the losses the sum."""
+    side, number = part["side"][0].as_py(), part["part"][0].as_py()
+    blobs = list(zip(part["ids"].to_pylist(), part["d"].to_pylist()))
+    if side == 2:
+        total = np.array([sum(float(np.frombuffer(d, np.float32)[0]) for _, d in blobs)], np.float32)
+        return pa.Table.from_batches([_moves([(2, 0, b"", total.tobytes())])])
+    total, uses = None, np.zeros(RANGE, np.int64)
+    for ids, d in blobs:
+        rows = np.frombuffer(ids, np.int32) - number * RANGE
+        values = np.frombuffer(d, np.float32).reshape(len(rows), -1)
+        if total is None:
+            total = np.zeros((RANGE, values.shape[1]))
+        total[rows] += values
+        uses[rows] += 1
+    rows = np.flatnonzero(uses)
+    return pa.Table.from_batches([_moves([(side, number, (rows + number * RANGE).astype(np.int32).tobytes(), (total[rows] / uses[rows, None]).astype(np.float32).tobytes())])])
+
+
 def _own_pass(w_in, w_out, pos, ids, own, slots, window, n_neg, rate) -> float:
     """All pairs of a run by small batches, and their summed loss; margins only serve as contexts.
 
-    A batch's pairs are scored with the same weights and their moves summed, which is
-    what threads that don't lock each other do to shared weights.
+    A batch's pairs are scored with the same weights and their moves summed.  A row that a batch uses more than
+    MOST times moves by that many average moves, and by at most LONGEST, as stale moves of a frequent token would
+    carry it ever further.
     """
     loss = 0.0
     for a in range(0, len(pos), 1 << 13):
@@ -156,19 +216,20 @@ def _centered(w_in, w_out, pos, ids, centers, slots, window, n_neg, rate) -> flo
         cell = where.ravel() * len(own) + np.repeat(np.arange(len(own)), targets.shape[1])
         sums = np.bincount(cell, g.ravel(), len(used) * len(own)).reshape(len(used), len(own)).astype(np.float32)
         move = (g[:, None, :] @ t)[:, 0]
-        w_out[used] += sums @ x
+        uses = np.bincount(where.ravel(), have.ravel(), len(used))
+        w_out[used] += _bounded(sums @ x, uses)
         _add_rows(w_in, ids[own], move)
     return loss
 
 
 def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """matrix[rows] += values with repeated rows summed."""
+    """matrix[rows] += values with repeated rows summed, as far as _bounded lets them."""
     order = np.argsort(rows, kind="stable")
     rows, values = rows[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    matrix[rows[first]] += np.add.reduceat(values, first, axis=0)
+    matrix[rows[first]] += _bounded(np.add.reduceat(values, first, axis=0), np.diff(np.append(first, len(rows))))
 
 
-def _sum_moves(part: pa.Table) -> pa.Table:
-    d = np.array(part["d"].to_pylist())
-    return pa.table({"side": part["side"].slice(0, 1), "id": part["id"].slice(0, 1), "n": pa.array([len(d)], pa.int32()), "d": pa.array([d.sum(axis=0).tolist()], pa.list_(pa.float64()))})
+def _bounded(moves: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    moves = moves * np.minimum(1, MOST / np.maximum(uses, 1)).astype(np.float32)[:, None]
+    return moves * np.minimum(1, LONGEST / np.maximum(np.linalg.norm(moves, axis=1), 1e-12)).astype(np.float32)[:, None]

@@ -8,11 +8,13 @@ write are removed as soon as it ends.
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -43,11 +45,34 @@ def _conf(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+class Shared:
+    """A broadcast value whose classes travel by value, so workers need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent, self._have = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_have": None}
+
+    @property
+    def value(self):
+        if self._have is None:
+            self._have = pickle.loads(self._sent.value)
+        return self._have
+
+
+def delete(spark: SparkSession, folder: str, at_end: bool = False) -> None:
+    """Deletes a folder of the shared file system, now or when the session's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(path) if at_end else files.delete(path, True)
+
+
 class Scratch:
-    """Named working tables of one operator run."""
+    """Named working tables of one operator run; what isn't dropped before goes when the session ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self._marked = spark, False
         self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str, records: int = 1000) -> DataFrame:
@@ -55,13 +80,14 @@ class Scratch:
         path = f"{self.root}/{name}"
         with _conf(self.spark, {CLEANUP: "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.execution.arrow.maxRecordsPerBatch": str(records)}):
             df.write.mode("overwrite").parquet(path)
+        if not self._marked:  # a folder can be marked once it is there
+            delete(self.spark, self.root, at_end=True)
+            self._marked = True
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def parallel(df: DataFrame, at_least: int | None = None) -> DataFrame:

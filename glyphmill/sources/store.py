@@ -12,7 +12,8 @@ from ..operators.bpe import Vocabulary
 
 MOST_TOKEN_BYTES = 8 << 20
 VOCABULARY_MAGIC, MODEL_MAGIC = b"BPE\0", b"WVCK"
-MODEL_HEADER = struct.Struct("<4siiiif")
+MODEL_HEADER = "<4siiiif"
+HEADER_BYTES = struct.calcsize(MODEL_HEADER)
 
 
 class FormatError(ValueError):
@@ -49,12 +50,44 @@ def parse_vocabulary(data: bytes) -> Vocabulary:
         raise FormatError(str(broken)) from broken
 
 
+def _file(path: str):
+    """A path with a scheme, and its file system in Spark's JVM."""
+    context = SparkSession.active().sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(path)
+    return context, own, own.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """To a local path, or to a URI that Hadoop knows."""
+    if "://" not in path:
+        Path(path).write_bytes(data)
+        return
+    _, own, files = _file(path)
+    out = files.create(own, True)
+    for k in range(0, len(data), 1 << 24):
+        out.write(bytearray(data[k : k + (1 << 24)]))
+    out.close()
+
+
+def read_bytes(path: str) -> bytes:
+    if "://" not in path:
+        return Path(path).read_bytes()
+    context, own, files = _file(path)
+    if not files.exists(own):
+        raise FileNotFoundError(path)
+    stream = files.open(own)
+    try:
+        return bytes(context._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def save_vocabulary(vocabulary: Vocabulary, path: str) -> None:
-    Path(path).write_bytes(dump_vocabulary(vocabulary))
+    write_bytes(path, dump_vocabulary(vocabulary))
 
 
 def load_vocabulary(path: str) -> Vocabulary:
-    return parse_vocabulary(Path(path).read_bytes())
+    return parse_vocabulary(read_bytes(path))
 
 
 def write_vocabulary(spark: SparkSession, vocabulary: Vocabulary, path: str) -> None:
@@ -70,29 +103,38 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
 
 def dump_model(w_in: np.ndarray, w_out: np.ndarray, epoch: int, rate: float) -> bytes:
     """Both matrices have one row a token."""
-    return MODEL_HEADER.pack(MODEL_MAGIC, 1, *w_in.shape, epoch, rate) + w_in.astype("<f4").tobytes() + w_out.astype("<f4").tobytes()
+    return struct.pack(MODEL_HEADER, MODEL_MAGIC, 1, *w_in.shape, epoch, rate) + w_in.astype("<f4").tobytes() + w_out.astype("<f4").tobytes()
 
 
 def parse_model(data: bytes) -> tuple[np.ndarray, np.ndarray, int, float]:
-    if len(data) < MODEL_HEADER.size:
+    if len(data) < HEADER_BYTES:
         raise FormatError("the file ends early")
-    magic, version, size, dim, epoch, rate = MODEL_HEADER.unpack_from(data)
+    magic, version, size, dim, epoch, rate = struct.unpack_from(MODEL_HEADER, data)
     if magic != MODEL_MAGIC:
         raise FormatError("invalid magic bytes")
     if version != 1:
         raise FormatError(f"unsupported version: {version}")
-    if size < 1 or dim < 1 or len(data) < MODEL_HEADER.size + 8 * size * dim:
+    if size < 1 or dim < 1 or len(data) < HEADER_BYTES + 8 * size * dim:
         raise FormatError("the file ends early")
-    both = np.frombuffer(data, "<f4", 2 * size * dim, MODEL_HEADER.size).reshape(2, size, dim)
+    both = np.frombuffer(data, "<f4", 2 * size * dim, HEADER_BYTES).reshape(2, size, dim)
     return both[0].copy(), both[1].copy(), epoch, rate
 
 
 def save_model(path: str, w_in: np.ndarray, w_out: np.ndarray, epoch: int, rate: float) -> None:
-    Path(path).write_bytes(dump_model(w_in, w_out, epoch, rate))
+    write_bytes(path, dump_model(w_in, w_out, epoch, rate))
 
 
 def load_model(path: str) -> tuple[np.ndarray, np.ndarray, int, float]:
-    return parse_model(Path(path).read_bytes())
+    return parse_model(read_bytes(path))
+
+
+def write_model(model: DataFrame, path: str) -> None:
+    """A model (id, w_in, w_out) as Parquet, by the executors that hold its rows."""
+    model.select("id", "w_in", "w_out").write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, w_in array<float>, w_out array<float>").parquet(path)
 
 
 def model_frame(spark: SparkSession, w_in: np.ndarray, w_out: np.ndarray) -> DataFrame:

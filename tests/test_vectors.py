@@ -80,6 +80,57 @@ def test_training(spark):
     assert np.allclose(same[0], again[0], atol=1e-5) and sgns.train(tokens, table, 10, dim=4, epochs=3, stop=lambda: True)[2] == []
 
 
+def test_training_stays_finite_on_a_skewed_stream(spark):
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.2, 20_000) - 1, 65_535)
+    w_in, w_out = sgns.initial(65_536, 100)
+    p = np.bincount(ids, minlength=65_536) ** 0.75
+    slots = rng.choice(65_536, 100_003, p=p / p.sum()).astype(np.int32)
+    losses = [sgns._own_pass(w_in, w_out, np.arange(len(ids)), ids, np.ones(len(ids), bool), slots, 5, 5, 0.025) for _ in range(2)]
+    assert np.isfinite(w_in).all() and np.isfinite(w_out).all() and losses[1] < losses[0]
+    assert max(np.linalg.norm(w_in, axis=1).max(), np.linalg.norm(w_out, axis=1).max()) < 50
+
+
+def test_training_in_runs_moves_each_row_once_a_run(spark):
+    tokens = stream(spark)
+    table = skipgram.negative_table(skipgram.unigram_counts(tokens, 10), 101)
+    w_in, _, losses = sgns.train(tokens, table, 10, dim=8, window=1, n_neg=2, epochs=3, rate=0.05, block=512, runs=2)
+    assert np.isfinite(w_in).all() and losses[-1] < losses[0]
+
+
+def test_models_and_vocabularies_in_other_file_systems(spark, tmp_path):
+    x = np.arange(12, dtype=np.float32).reshape(4, 3)
+    store.save_model(f"file://{tmp_path}/m", x, -x, 1, 0.5)
+    assert np.array_equal(store.load_model(f"file://{tmp_path}/m")[1], -x)
+    store.write_model(store.model_frame(spark, x, -x), f"{tmp_path}/table")
+    assert [list(r.w_out) for r in store.read_model(spark, f"{tmp_path}/table").orderBy("id").collect()] == (-x).tolist()
+    with pytest.raises(FileNotFoundError):
+        store.load_model(f"file://{tmp_path}/none")
+
+
+def test_options_take_the_next_argument_verbatim(spark, tmp_path, capsys):
+    assert cli._verbatim(["similar", "--word", "-x", "--topk=3"]) == ["similar", "--word=-x", "--topk=3"]
+    assert cli.main(["similar", "--model", str(tmp_path / "none"), "--word", "-x"], spark) == 1 and "Error" in capsys.readouterr().err
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r})\nfrom pyspark.sql import SparkSession\nfrom glyphmill import catalog\nspark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\nprint('ROWS', catalog.QUERIES['corpus_token_ids'](spark, '/root/testdata/sf0.001').count(), catalog.QUERIES['sgns_train'](spark, '/root/testdata/sf0.001').count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_bench_rate(spark):
+    import bench
+
+    assert bench.words_per_second(spark, "/root/testdata/sf0.001") > 0
+
+
 def test_exact_training_is_the_serial_loop(spark):
     tokens = stream(spark, 120)
     table = skipgram.negative_table(skipgram.unigram_counts(tokens, 10), 101)
