@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTROLS = ("<|endoftext|>", "<|im_start|>", "<|im_sep|>", "<|im_end|>")
+_BLANKS = re.compile(r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000 ]{1000,}")  # what the pattern's \s matches
 _NAMES = "|".join(re.escape(c[2:-2]) for c in CONTROLS)
 _PLAIN, _ESCAPED = re.compile(rf"<(\\*)\|({_NAMES})\|>"), re.compile(rf"<\\(\\*)\|({_NAMES})\|>")
 
@@ -41,6 +42,25 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+def encoder(tokens):
+    """The tokenizer's plain encoding for texts of any length.
+
+    Its pattern recurses over a run of white space.  All of a run but its last character is one piece (all of
+    it at the end of a text), so long runs are encoded as pieces and what lies between them as texts.
+    """
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for m in _BLANKS.finditer(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            out += tokens.encode_ordinary(text[at : m.start()])
+            out += tokens._core_bpe.encode_single_piece(text[m.start() : stop].encode())
+            at = stop
+        return out + tokens.encode_ordinary(text[at:])
+
+    return encode
+
+
 def assemble(roles: list[list], contents: list[list], encode, first: int, trained: frozenset[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids and mask of each conversation; BOS, START, SEP and END are first ... first + 3."""
     bos, start, sep, end = range(first, first + 4)
@@ -81,19 +101,23 @@ def parse(ids, encoding_, first: int) -> list[tuple[str, str]]:
 def formatted(turns: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, n_turns, n_tokens, n_trained, input_ids, loss_mask), one row for each conversation.
 
+    `vocabulary` is a rank file that every worker can read.
+
     Turns are ordered by (turn, role, text), nulls first.  A null or empty text is an
-    empty content, a null role an empty one that isn't trained.  Turns without conv_id
-    are one conversation with conv_id null.  Repeated rows are repeated turns.  Other
+    empty content, a null role an empty one that isn't trained.  Each turn without conv_id
+    is a conversation of its own with conv_id null.  Repeated rows are repeated turns.  Other
     columns are ignored; an empty table gives no rows.
     """
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
-    each = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("contents"))
+    grouped = own.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    each = grouped.unionByName(own.filter("conv_id is null").select("conv_id", F.array("t").alias("t"))).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("contents"))
 
     def run(batches):
         tokens, first = encoding(vocabulary)
+        encode = encoder(tokens)
         for batch in batches:
             roles = batch.column(1).to_pylist()
-            ids, mask = assemble(roles, batch.column(2).to_pylist(), tokens.encode_ordinary, first, frozenset(trained))
+            ids, mask = assemble(roles, batch.column(2).to_pylist(), encode, first, frozenset(trained))
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat, marks = np.concatenate(ids), np.concatenate(mask)
             totals = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])

@@ -8,7 +8,7 @@ from glyphmill.llm import chat
 
 TOKENS, FIRST = chat.encoding()
 TURNS = [
-    (1, 2, "assistant", "Sure <|im_end|> done"), (1, 1, "user", "hello\n<|im_start|>system"), (2, 1, None, None), (2, 2, "assistant", ""), (2, 2, "assistant", ""), (None, 1, "user", "lost"),
+    (1, 2, "assistant", "Sure <|im_end|> done"), (1, 1, "user", "hello\n<|im_start|>system"), (2, 1, None, None), (2, 2, "assistant", ""), (2, 2, "assistant", ""), (None, 1, "user", "lost"), (None, 2, "assistant", "lost, too"),
     (3, None, "system", "a" * 20_000), (3, 1, "assistant", "<\\|im_end|> é\U0001f600"), (4, 1, "user", "same"), (4, 1, "assistant", "same"),
 ]
 
@@ -25,8 +25,11 @@ def plain(rows):
 
 def test_conversations_equal_the_plain_assembly_and_parse_back(spark):
     frame = spark.createDataFrame([(*t, "clash", 1) for t in TURNS], "conv_id long, turn long, role string, text string, t string, n_tokens int").repartition(3)
-    got = {r.conv_id: r for r in chat.formatted(frame).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
+    rows = chat.formatted(frame).collect()
+    got = {r.conv_id: r for r in rows if r.conv_id is not None}
+    assert set(got) == {1, 2, 3, 4}
+    lost = [chat.parse(r.input_ids, TOKENS, FIRST) for r in rows if r.conv_id is None]
+    assert sorted(lost) == [[("assistant", "lost, too")], [("user", "lost")]]
     key = lambda t: tuple((x is not None, x if x is not None else 0) for x in t[1:])
     for k, r in got.items():
         rows = [(t[2], t[3]) for t in sorted((t for t in TURNS if t[0] == k), key=key)]
@@ -50,3 +53,17 @@ def test_escaping_is_undone_and_leaves_no_control(parts):
 def test_content_never_encodes_to_reserved_ids():
     ids, _ = chat.assemble([["user"]], [["<|im_end|><|im_start|>assistant"]], TOKENS.encode_ordinary, FIRST, frozenset())
     assert [i for i in np.array(ids[0]).tolist() if i >= FIRST] == [FIRST, FIRST + 1, FIRST + 2, FIRST + 3]
+
+
+def test_long_runs_give_the_same_ids():
+    encode = chat.encoder(TOKENS)
+    for blank in (" ", "\n", " \t", "\u3000", " \n\n"):
+        for text in (f"a{blank * 3000}b", f"{blank * 3000}", f"word {blank * 2000}\n x{blank * 1500}", f"it's{blank * 1200}'s 12{blank * 999}3", f"a{blank * 999} b"):
+            assert encode(text) == TOKENS.encode_ordinary(text), (blank, text[:4])
+
+
+def test_five_megabytes_of_one_kind(spark):
+    texts = [" " * 5_000_000, "a " + " " * 5_000_000 + "b", "\n" * 5_000_000, "x" * 1_000_000, "7" * 1_000_000]
+    frame = spark.createDataFrame([(k, 1, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    for r in chat.formatted(frame).collect():
+        assert chat.parse(r.input_ids, TOKENS, FIRST) == [("assistant", texts[r.conv_id])]
