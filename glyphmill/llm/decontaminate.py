@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Shared
 from .quality import FOLD, LETTERS
 from .words import U, Words, chunks, mix
 
@@ -150,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, id_co
     spark, own, found = docs.sparkSession, docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")), None
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
     for items in _slices(benchmark, item_col, "text"):
-        part = own.mapInArrow(_matcher(spark.sparkContext.broadcast(Index(items, threshold))), schema)
+        part = own.mapInArrow(_matcher(Shared(spark, Index(items, threshold))), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -193,5 +194,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         return run
 
     for items in _slices(benchmark, "item_id", "text"):
-        kept = kept.mapInArrow(dropper(docs.sparkSession.sparkContext.broadcast(Index(items, threshold))), docs.schema)
+        kept = kept.mapInArrow(dropper(Shared(docs.sparkSession, Index(items, threshold))), docs.schema)
     return kept
