@@ -5,7 +5,7 @@ document goes to the shortest tier that holds it; what exceeds the longest tier
 into full windows of it.  From the longest tier down each tier is packed best-fit
 decreasing, then its gaps are filled with the longest pieces of shorter tiers that fit.
 Windows of a tier then form step groups of equal token budget, balanced by attention
-cost.  Only lengths are shuffled, to shards of a bounded number of bytes.
+cost.  Only lengths are shuffled, to shards of about as many bytes and at most about as many pieces.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 TIERS = (4096, 16384, 65536)
 STEP_BYTES = 262_144
-SHARD_BYTES = 64 << 20
+SHARD_BYTES, SHARD_PIECES = 64 << 20, 250_000
 PACKS = "shard long, tier long, pack long, step_group long, n_used long, doc_ids array<long>, starts array<long>, lengths array<long>"
 
 
@@ -109,7 +109,9 @@ def packed(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_bytes: int = ST
         raise ValueError("tiers must be positive")
     tiers, most = tuple(sorted(tiers)), max(tiers)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long").alias("n")).filter("n > 0").withColumn("n", F.expr("n + 1"))
-    total = own.agg(F.sum("n")).first()[0] or 0
+    total, count = own.agg(F.sum("n"), F.count("*")).first()
+    total = total or 0
+    shards = max(1, -(-total // SHARD_BYTES), -(-(count + total // most) // SHARD_PIECES))
     cut = own.withColumn("start", F.explode(F.expr(f"sequence(0L, n - 1, {most}L)"))).select("doc_id", "start", F.expr(f"least(n - start, {most}L)").alias("length"))
-    sharded = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(max(1, -(-total // SHARD_BYTES)))))
+    sharded = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)))
     return sharded.groupBy("shard").applyInArrow(_shard(tiers, step_bytes), PACKS)
