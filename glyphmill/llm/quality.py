@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Shared
 from .words import U, Words, chunks, mix
 
 BITS = 17
 SIZE = 1 << BITS
 FACTORS = 4
+EPOCHS = 20  # passes over the labelled documents, whatever their number
 BEGINNINGS = (4, 6)
 TIED = 25.0
 LETTERS = np.zeros(256, bool)
@@ -113,7 +115,7 @@ def tied(flat: np.ndarray, positive: np.ndarray, n: int, n_positive: float) -> n
     return (df >= 3) & (n * (a * d - b * c) ** 2 > TIED * df * (c + d) * n_positive * (n - n_positive))
 
 
-def fit(lists: list[np.ndarray], y: np.ndarray, steps: int = 1400, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit(lists: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Logistic loss by Adagrad over mini-batches of feature lists; y is 0 or 1.  Without a feature that is tied to the label nothing is told apart."""
     rng = np.random.default_rng(seed)
     size = np.array([len(x) for x in lists], np.int64)
@@ -128,7 +130,7 @@ def fit(lists: list[np.ndarray], y: np.ndarray, steps: int = 1400, batch: int =
         model.bias, model.v = -30.0, model.v * 0
         return model
     gw, gv, gb = np.full(SIZE, 1e-2), np.full((SIZE, FACTORS), 1e-2), 1e-2
-    for _ in range(min(40, max(8, round(steps * batch / len(y))))):  # epochs: many texts need fewer
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]
@@ -207,7 +209,7 @@ class Classifier:
 
     def scored(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(row, low_quality, toxicity, keep): the documents' columns in a struct, the probabilities and the decision."""
-        shared = docs.sparkSession.sparkContext.broadcast(self)
+        shared = Shared(docs.sparkSession, self)
         own = _own(docs, id_col).select("_id", "_text", "_lang", "_source", "row")
         kind = own.schema["row"].dataType.simpleString()
 
