@@ -1,8 +1,9 @@
 """Document log-likelihood under a gated recurrent language model, trained here in numpy.
 
 Words are counted over the whole corpus.  The most frequent are the model's words; the
-others share slots by hash, and a slot's probability is spread evenly over its distinct
-words, so the probabilities of all words of the corpus and the end sum to one.  The output
+others share slots by hash, and of a slot's probability each word has the share of its own
+count, so the probabilities of all words of the corpus and the end sum to one.  These counts stay a
+table that grows with the corpus; a chunk of texts asks it once for each of its words.  The output
 softmax is factored: a class of 64 words first, then the word in its class.
 
 Every document trains the model on all of its windows in every round, by backpropagation
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, Shared
 from .blobs import runs, texts
 from .words import U, Words, chunks, gather, mix, settle
 
@@ -34,12 +35,15 @@ WINDOW = 16
 ROUNDS = 2
 BATCH = 128
 BLOCK = 8192
+RANGE_BYTES = 8 << 20
+SCORED = "chunk long, bucket long, words binary, values binary, n binary, ids binary, missing binary, size binary, score binary"
+SCORED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("words", "values", "n", "ids", "missing", "size", "score")]])
 
 
 class Vocabulary:
-    """Ids by rank of frequency; id of a slot for every other word; `spread` is the log of the words that share an id."""
+    """Ids by rank of frequency; id of a slot for every other word; `slot_counts` are the occurrences of the words of each slot."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, slot_counts: np.ndarray, slot_types: np.ndarray, n_docs: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, slot_counts: np.ndarray, n_docs: int):
         size = VOCABULARY - SLOTS - 1
         words, counts = words[:size], counts[:size]
         kind = np.concatenate([np.zeros(len(words)), np.ones(SLOTS), [2]])
@@ -49,22 +53,31 @@ class Vocabulary:
         place[order] = np.arange(len(order))
         by = np.argsort(words)
         self.words, self.ids = words[by], place[: len(words)][by]
-        self.slots = place[kind == 1]
+        self.slots, self.slot_counts = place[kind == 1], slot_counts
         self.end = int(place[-1])
         self.counts = np.zeros(VOCABULARY)
         self.counts[: len(order)] = total[order]
-        self.spread = np.zeros(VOCABULARY, np.float32)
-        self.spread[self.slots] = np.log(np.maximum(slot_types, 1))
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Which words are the model's own."""
+        if not len(self.words):
+            return np.zeros(len(hashes), bool)
+        return self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] == hashes
+
+    def shares(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log of each slot word's part of the occurrences in its slot."""
+        return np.log(counts / self.slot_counts[slot_of(words)])
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
-        out = self.slots[(mix(hashes) >> U(64 - 7)).astype(np.int64)]
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            known = self.words[at] == hashes
-            out[known] = self.ids[at[known]]
+        out, known = self.slots[slot_of(hashes)], self.known(hashes)
+        out[known] = self.ids[np.searchsorted(self.words, hashes[known])]
         return out
 
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> U(64 - 7)).astype(np.int64)
+
+
 def _counts(bits: int):
     def run(batches):
         for batch in batches:
@@ -79,48 +92,39 @@ def _counts(bits: int):
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """Of a range of word hashes: the most frequent words, and for each slot the rest's words and occurrences."""
+    """Of a range of word hashes: every word with its occurrences."""
     words, n = gather(table["words"].to_pylist(), U), gather(table["n"].to_pylist(), np.uint32).astype(np.int64)
     order = np.argsort(words)
     words, n = words[order], n[order]
     first, _ = runs(words)
-    words, n = words[first], np.add.reduceat(n, first)
-    order = np.lexsort((words, -n))
-    top, rest = order[:VOCABULARY], order[VOCABULARY:]
-    slot = (mix(words[rest]) >> U(64 - 7)).astype(np.int64)
-    types, total = np.bincount(slot, minlength=SLOTS), np.bincount(slot, n[rest], SLOTS).astype(np.int64)
-    return pa.table({"word": np.concatenate([words[top].astype(np.int64), np.arange(SLOTS)]), "slot": np.concatenate([np.zeros(len(top), bool), np.ones(SLOTS, bool)]), "n": np.concatenate([n[top], total]), "types": np.concatenate([np.ones(len(top), np.int64), types])})
+    return pa.table({"word": words[first].astype(np.int64), "n": np.add.reduceat(n, first) if len(n) else n})
 
 
-def vocabulary(own: DataFrame) -> Vocabulary:
-    """Counts every word of the corpus; only as many rows as the model has words and slots reach the driver."""
+def vocabulary(own: DataFrame) -> tuple[Vocabulary, DataFrame, int]:
+    """Counts every word of the corpus: the model's words and slots, the table (word, n) of all, and the bits that cut it into ranges.
+
+    Only as many rows as the model has words and slots reach the driver.
+    """
+    spark = own.sparkSession
     total = own.agg(F.sum(F.octet_length("_text")), F.count("*")).first()
-    bits = max(2, int((total[0] or 0) / (64 << 20)).bit_length())
-    counted = own.select("_id", "_text").mapInArrow(_counts(bits), "bucket long, words binary, n binary").groupBy("bucket").applyInArrow(_totals, "word long, slot boolean, n long, types long")
-    scratch = Scratch(own.sparkSession)
-    counted = scratch.table(counted, "words")
-    rest = {r.word: (r.n, r.types) for r in counted.filter("slot").groupBy("word").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()}
-    size = VOCABULARY - SLOTS - 1
-    top = counted.filter("not slot").orderBy(F.desc("n"), "word").limit(size).collect()
+    bits = max(2, int((total[0] or 0) / RANGE_BYTES).bit_length())
+    counted = own.select("_id", "_text").mapInArrow(_counts(bits), "bucket long, words binary, n binary").groupBy("bucket").applyInArrow(_totals, "word long, n long")
+    counted = Scratch(spark).table(counted, "words")
+    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - SLOTS - 1).collect()
     words, counts = np.array([r.word for r in top], np.int64).astype(U), np.array([r.n for r in top], np.float64)
-    n, types = np.zeros(SLOTS), np.zeros(SLOTS)
-    for s, (a, b) in rest.items():
-        n[s], types[s] = a, b
-    # words that were among the most frequent of their range but not of all
-    chosen = own.sparkSession.sparkContext.broadcast(np.sort(words))
+    chosen = Shared(spark, np.sort(words))
 
     def others(batches):
         for batch in batches:
             w = batch.column(0).to_numpy().astype(U)
             at = np.minimum(np.searchsorted(chosen.value, w), max(len(chosen.value) - 1, 0))
             out = chosen.value[at] != w if len(chosen.value) else np.ones(len(w), bool)
-            slot = (mix(w[out]) >> U(64 - 7)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS)), pa.array(np.bincount(slot, batch.column(1).to_numpy()[out], SLOTS).astype(np.int64)), pa.array(np.bincount(slot, minlength=SLOTS))], names=["s", "n", "types"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS)), pa.array(np.bincount(slot_of(w[out]), batch.column(1).to_numpy()[out], SLOTS).astype(np.int64))], names=["s", "n"])
 
-    for r in counted.filter("not slot").select("word", "n").mapInArrow(others, "s long, n long, types long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
-        n[r.s] += r.n
-        types[r.s] += r.types
-    return Vocabulary(words, counts, n, types, total[1])
+    n = np.zeros(SLOTS)
+    for r in counted.mapInArrow(others, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
+        n[r.s] = r.n
+    return Vocabulary(words, counts, n, total[1]), counted, bits
 
 
 def _sigmoid(x):
@@ -296,7 +300,7 @@ def train(own: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
     flat, kind = Model.start(voc).flat, "block long, n long, w binary"
     salts = max(1, math.isqrt(own.rdd.getNumPartitions()))
     for round_ in range(rounds):
-        shared = own.sparkSession.sparkContext.broadcast((flat, voc))
+        shared = Shared(own.sparkSession, (flat, voc))
         trained = own.select("_id", "_text").mapInArrow(_trainer(shared, round_, salts), f"{kind}, salt long")
         blocks = trained.groupBy("block", "salt").applyInArrow(_average, kind).groupBy("block").applyInArrow(_average, kind).collect()
         flat = flat.copy()
@@ -306,7 +310,7 @@ def train(own: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
 
 
 def log_likelihoods(model: Model, voc: Vocabulary, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-probability of each whole text and its end, all texts in step, the state carried to the end."""
+    """Log-probability of the ids of each whole text and its end, all texts in step, the state carried to the end."""
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     starts, ends = first[:-1][order], n[order]
@@ -328,7 +332,7 @@ def log_likelihoods(model: Model, voc: Vocabulary, ids: np.ndarray, first: np.nd
         last[:m], held = y, held + m
         if held >= 1 << 15 or t + 1 == longest:
             y = np.concatenate(words)
-            got = model.output(np.concatenate(states), y)[0] - voc.spread[y]
+            got = model.output(np.concatenate(states), y)[0]
             out += np.bincount(np.concatenate([np.arange(k) for k in rows]), got, len(out))
             states, words, rows, held = [], [], [], 0
     result = np.empty(len(n))
@@ -336,26 +340,71 @@ def log_likelihoods(model: Model, voc: Vocabulary, ids: np.ndarray, first: np.nd
     return result
 
 
-def scores(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_likelihood, perplexity) of every document, its end included.
-
-    A null or empty text is scored as a text that ends at once.  A null doc_id stays
-    null; each of repeated rows counts and is scored.  Other columns are ignored; an
-    empty table gives no rows.
-    """
-    own = texts(docs, id_col, text_col)
-    voc = vocabulary(own)
-    shared = docs.sparkSession.sparkContext.broadcast((train(own, voc, rounds).flat, voc))
+def _scorer(shared, bits: int):
+    """For each chunk: its documents with the log-likelihoods of their ids and their other words (bucket -1), and these words by ranges."""
 
     def run(batches):
         settle()
         flat, voc = shared.value
-        model = Model(flat)
+        model, at = Model(flat), TaskContext.get().partitionId() << 24
         for batch in batches:
             for piece in chunks(batch, 1, 12 << 20):
                 w = Words(piece.column(1))
-                n = np.diff(w.first)
                 got = log_likelihoods(model, voc, voc.encode(w.hashes), w.first)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(got), pa.array(np.exp(-got / (n + 1)))], names=["doc_id", "n_words", "log_likelihood", "perplexity"])
+                rest = np.flatnonzero(~voc.known(w.hashes))
+                words, which = np.unique(w.hashes[rest], return_inverse=True)
+                doc = np.repeat(np.arange(piece.num_rows), np.diff(w.first))[rest]
+                pair, n = np.unique(doc * max(len(words), 1) + which, return_counts=True)
+                doc, which = pair // max(len(words), 1), pair % max(len(words), 1)
+                ids = piece.column(0)
+                rows = [{"chunk": at, "bucket": -1, "words": doc.astype(np.uint32).tobytes(), "values": which.astype(np.uint32).tobytes(), "n": n.astype(np.uint32).tobytes(), "ids": ids.fill_null(0).to_numpy().tobytes(), "missing": ids.is_null().to_numpy(zero_copy_only=False).tobytes(), "size": np.diff(w.first).tobytes(), "score": got.tobytes()}]
+                cut = np.searchsorted(words >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+                rows += [{"chunk": at, "bucket": b, "words": words[x:y].tobytes()} for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+                yield pa.RecordBatch.from_pylist(rows, SCORED_ARROW)
+                at += 1
+
+    return run
 
-    return own.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, perplexity double")
+
+def _answers(shared):
+    """Of a range of words: the log shares of the words that chunks ask for, in their order."""
+
+    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        voc = shared.value[1]
+        words, n = counted["word"].to_numpy().astype(U), counted["n"].to_numpy()
+        order = np.argsort(words)
+        words, n, out = words[order], n[order], []
+        for chunk, bucket, blob in zip(asked["chunk"].to_pylist(), asked["bucket"].to_pylist(), asked["words"].to_pylist()):
+            own = np.frombuffer(blob, U)
+            out.append({"chunk": chunk, "bucket": bucket, "values": voc.shares(own, n[np.searchsorted(words, own)]).astype(np.float32).tobytes()})
+        return pa.Table.from_pylist(out, SCORED_ARROW)
+
+    return run
+
+
+def _finish(table: pa.Table) -> pa.Table:
+    """Of one chunk: the documents' scores with the shares of their other words."""
+    table = table.sort_by("bucket")
+    head, shares = table.slice(0, 1).to_pylist()[0], gather(table.slice(1)["values"].to_pylist(), np.float32)
+    doc, which, n = (np.frombuffer(head[c], np.uint32) for c in ("words", "values", "n"))
+    size, score = np.frombuffer(head["size"], np.int64), np.frombuffer(head["score"], np.float64)
+    if len(doc):
+        score = score + np.bincount(doc, shares[which].astype(np.float64) * n, len(score))
+    return pa.table({"doc_id": pa.array(np.frombuffer(head["ids"], np.int64), mask=np.frombuffer(head["missing"], bool)), "n_words": size, "log_likelihood": score, "perplexity": np.exp(-score / (size + 1))})
+
+
+def scores(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_likelihood, perplexity) of every document, its end included.
+
+    A null or empty text is scored as a text that ends at once.  A null doc_id stays
+    null; each of repeated rows counts and is scored.  Other columns are ignored; an
+    empty table gives no rows.
+    """
+    own, scratch = texts(docs, id_col, text_col), Scratch(docs.sparkSession)
+    voc, counted, bits = vocabulary(own)
+    shared = Shared(docs.sparkSession, (train(own, voc, rounds).flat, voc))
+    scored = scratch.table(own.select("_id", "_text").mapInArrow(_scorer(shared, bits), SCORED), "scored")
+    ranges = counted.withColumn("bucket", F.shiftrightunsigned("word", 64 - bits))
+    answers = scored.filter("bucket >= 0").groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_answers(shared), SCORED)
+    every = scored.filter("bucket < 0").unionByName(answers)
+    return every.groupBy("chunk").applyInArrow(_finish, "doc_id long, n_words long, log_likelihood double, perplexity double")

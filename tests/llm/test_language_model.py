@@ -12,13 +12,13 @@ from . import cases
 @pytest.fixture(scope="module")
 def fitted(spark):
     own = texts(cases.frame(spark), "doc_id", "text")
-    voc = lm.vocabulary(own)
-    return own, voc, lm.train(own, voc)
+    voc, counted, _ = lm.vocabulary(own)
+    return own, voc, lm.train(own, voc), {np.uint64(r.word % (1 << 64)): r.n for r in counted.collect()}
 
 
 def rough(seed=0):
     rng = np.random.default_rng(seed)
-    voc = lm.Vocabulary(rng.integers(1, 1 << 60, 50).astype(np.uint64), rng.integers(1, 90, 50).astype(float), rng.integers(0, 9, lm.SLOTS).astype(float), rng.integers(0, 5, lm.SLOTS).astype(float), 7)
+    voc = lm.Vocabulary(rng.integers(1, 1 << 60, 50).astype(np.uint64), rng.integers(1, 90, 50).astype(float), rng.integers(0, 9, lm.SLOTS).astype(float), 7)
     model = lm.Model.start(voc)
     return lm.Model(model.flat.astype(np.float64) + rng.normal(0, 0.2, len(model.flat))), voc
 
@@ -47,26 +47,39 @@ def test_class_and_word_probabilities_sum_to_one():
     assert abs(np.exp(got).sum() - 1) < 1e-9
 
 
+def share(voc, counts, word):
+    return 0.0 if voc.known(np.array([word]))[0] else float(voc.shares(np.array([word]), np.array([counts[word]]))[0])
+
+
 def test_all_words_and_the_end_share_one_probability(fitted):
-    _, voc, model = fitted
-    hashes = np.unique(np.concatenate([lm.Words(lm.pa.array([t])).hashes for _, t in cases.documents() if t]))
+    _, voc, model, counts = fitted
+    hashes = np.array(list(counts), np.uint64)
     ids = np.append(voc.encode(hashes), voc.end)
+    shares = np.array([*[share(voc, counts, w) for w in hashes], 0.0])
     h = np.random.default_rng(4).normal(size=(1, lm.HIDDEN)).astype(np.float32)
-    p = np.exp(model.output(np.repeat(h, len(ids), axis=0), ids)[0] - voc.spread[ids])
-    assert p.sum() <= 1 + 1e-4
+    all_ids = np.exp(model.output(np.repeat(h, lm.VOCABULARY, axis=0), np.arange(lm.VOCABULARY))[0])
+    used = np.unique(ids)
+    assert abs(np.exp(model.output(np.repeat(h, len(ids), axis=0), ids)[0] + shares).sum() - all_ids[used].sum()) < 1e-3
+
+
+def test_counts_are_those_of_all_words(fitted):
+    counts = fitted[3]
+    w = lm.Words(lm.pa.array([t for _, t in cases.documents()], lm.pa.string()))
+    words, n = np.unique(w.hashes, return_counts=True)
+    assert counts == dict(zip(words, n.tolist()))
 
 
 def one_by_one(model, voc, ids):
     h, last, total = np.zeros((1, lm.HIDDEN), np.float32), lm.VOCABULARY, 0.0
     for y in [*ids.tolist(), voc.end]:
         h = model.step(model.E[[last]] @ model.W + model.b, h)[0]
-        total += float(model.output(h, np.array([y]))[0][0]) - float(voc.spread[y])
+        total += float(model.output(h, np.array([y]))[0][0])
         last = y
     return total
 
 
-def test_scores_equal_one_word_at_a_time(spark, fitted):
-    _, voc, model = fitted
+def test_scores_equal_one_word_at_a_time(fitted):
+    _, voc, model, _ = fitted
     rows = [r for r in cases.documents(long=400) if r[0] != 10]
     w = lm.Words(lm.pa.array([t for _, t in rows], lm.pa.string()))
     ids = voc.encode(w.hashes)
@@ -75,6 +88,22 @@ def test_scores_equal_one_word_at_a_time(spark, fitted):
     assert np.allclose(got, slow, rtol=1e-4, atol=1e-3)
 
 
+def test_the_table_s_scores_are_ids_and_shares(spark, fitted, monkeypatch):
+    own, voc, model, counts = fitted
+    monkeypatch.setattr(lm, "vocabulary", lambda _: (voc, spark.createDataFrame([(int(np.int64(w)), n) for w, n in counts.items()], "word long, n long"), 3))
+    monkeypatch.setattr(lm, "train", lambda *_: model)
+    rows = cases.documents(long=400)
+    expected = []
+    for k, t in rows:
+        w = lm.Words(lm.pa.array([t], lm.pa.string()))
+        unseen = [x for x in w.hashes if x not in counts]
+        if not unseen:
+            expected.append((repr(k), one_by_one(model, voc, voc.encode(w.hashes)) + sum(share(voc, counts, x) for x in w.hashes)))
+    got = sorted((repr(r.doc_id), r.log_likelihood) for r in lm.scores(cases.frame(spark, [r for r in rows if r[0] not in (10, 11)])).collect())
+    expected = sorted(x for x in expected if x[0] not in ("10", "11"))
+    assert [k for k, _ in got] == [k for k, _ in expected] and np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-4, atol=2e-3)
+
+
 def test_every_row_is_scored_whole(spark):
     rows = cases.documents()
     got = lm.scores(cases.frame(spark, rows)).collect()
@@ -90,7 +119,7 @@ def test_training_learns_what_follows_what(spark, monkeypatch):
     follow = {f"a{k}": f"b{k}" for k in range(12)}
     rows = [(n, " ".join(x for k in rng.integers(0, 12, 400) for x in (f"a{k}", follow[f"a{k}"]))) for n in range(240)]
     own = texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "doc_id", "text")
-    voc = lm.vocabulary(own)
+    voc = lm.vocabulary(own)[0]
     w = lm.Words(lm.pa.array([rows[0][1]]))
     ids = voc.encode(w.hashes)
     before = lm.log_likelihoods(lm.Model.start(voc), voc, ids, w.first)[0]
