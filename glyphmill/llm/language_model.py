@@ -7,7 +7,8 @@ table that grows with the corpus; a chunk of texts asks it once for each of its
 softmax is factored: a class of 64 words first, then the word in its class.
 
 Every document trains the model on all of its windows in every round, by backpropagation
-truncated to a window, with the state carried from window to window.  Partitions train side by side from common weights, and the
+truncated to a window, with the state carried from window to window.  A document that ends leaves
+its place in the batch to the next one, over all of a partition.  Partitions train side by side from common weights, and the
 weights are averaged by words between rounds.  Scoring carries the state over all
 windows of a document, so a text counts from its first word to its end.
 """
@@ -35,6 +36,10 @@ WINDOW = 16
 ROUNDS = 2
 BATCH = 128
 BLOCK = 8192
+TOGETHER = 128
+LENGTH = 64
+PIECE = 1 << 14
+HALF = np.repeat([0.5, 1], [2 * HIDDEN, HIDDEN])
 RANGE_BYTES = 8 << 20
 SCORED = "chunk long, bucket long, words binary, values binary, n binary, ids binary, missing binary, size binary, score binary"
 SCORED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("words", "values", "n", "ids", "missing", "size", "score")]])
@@ -55,6 +60,10 @@ class Vocabulary:
         self.words, self.ids = words[by], place[: len(words)][by]
         self.slots, self.slot_counts = place[kind == 1], slot_counts
         self.end = int(place[-1])
+        near = np.searchsorted(self.words, np.arange(1 << 16, dtype=U) << U(48))  # of a hash's first 16 bits, the first word
+        self.near, self.crowded = np.minimum(near, max(len(words) - 1, 0)), np.diff(near, append=len(words)) > 1
+        self.shared = np.zeros(VOCABULARY, bool)
+        self.shared[self.slots] = True
         self.counts = np.zeros(VOCABULARY)
         self.counts[: len(order)] = total[order]
 
@@ -69,8 +78,14 @@ class Vocabulary:
         return np.log(counts / self.slot_counts[slot_of(words)])
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
-        out, known = self.slots[slot_of(hashes)], self.known(hashes)
-        out[known] = self.ids[np.searchsorted(self.words, hashes[known])]
+        if not len(self.words):
+            return self.slots[slot_of(hashes)]
+        top = (hashes >> U(48)).astype(np.int64)
+        at = self.near[top]
+        crowd = np.flatnonzero(self.crowded[top])
+        at[crowd] = np.minimum(np.searchsorted(self.words, hashes[crowd]), len(self.words) - 1)
+        out, rest = self.ids[at], np.flatnonzero(self.words[at] != hashes)
+        out[rest] = self.slots[slot_of(hashes[rest])]
         return out
 
 
@@ -132,12 +147,12 @@ def _sigmoid(x):
 
 
 class Model:
-    """E embeds the last word; W, V, b are the gates (update, reset, candidate); C, c choose the class, D, d the word in it."""
+    """E embeds the last word; W, V, b are the gates (update, reset, candidate); C chooses the class, D the word in it, their last row for the unit that is always one."""
 
-    SHAPES = {"E": (VOCABULARY + 1, HIDDEN), "W": (HIDDEN, 3 * HIDDEN), "V": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "C": (HIDDEN, CLASSES), "c": (CLASSES,), "D": (VOCABULARY, HIDDEN), "d": (VOCABULARY,)}
+    SHAPES = {"E": (VOCABULARY + 1, HIDDEN), "W": (HIDDEN, 3 * HIDDEN), "V": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "C": (HIDDEN + 1, CLASSES), "D": (CLASSES, HIDDEN + 1, CLASS)}
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
+        self.flat, self.gradient, at = flat, None, 0
         for name, shape in self.SHAPES.items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
@@ -151,124 +166,267 @@ class Model:
     def start(cls, vocabulary: Vocabulary, seed: int = 3) -> Model:
         """Small random weights over the unigram model."""
         model, rng = cls(np.zeros(cls.size(), np.float32)), np.random.default_rng(seed)
-        for name in ("E", "W", "V", "C", "D"):
+        for name in ("E", "W", "V"):
             w = getattr(model, name)
-            w[...] = rng.normal(0, 0.3 if name == "E" else HIDDEN**-0.5 if name in "WV" else 0.05, w.shape)
-        n = vocabulary.counts + 0.1
-        model.c[:] = np.log(n.reshape(CLASSES, CLASS).sum(axis=1) / n.sum())
-        model.d[:] = np.log(n)
+            w[...] = rng.normal(0, 0.3 if name == "E" else HIDDEN**-0.5, w.shape)
+        model.C[:-1] = rng.normal(0, 0.05, (HIDDEN, CLASSES))
+        model.D[:, :-1] = rng.normal(0, 0.05, (CLASSES, CLASS, HIDDEN)).transpose(0, 2, 1)
+        n = (vocabulary.counts + 0.1).reshape(CLASSES, CLASS)
+        model.C[-1] = np.log(n.sum(axis=1) / n.sum())
+        model.D[:, -1] = np.log(n)
         return model
 
     def step(self, a: np.ndarray, h: np.ndarray):
+        """One step in plain form, a row for each document."""
         u = h @ self.V
         zr = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
         return n + z * (h - n), z, r, n, u
 
-    def output(self, h: np.ndarray, y: np.ndarray, gradient: "Model | None" = None):
-        """Log-probability of each y after state h; with a gradient also d(-sum)/dh, weights' parts added."""
-        rows = np.arange(len(y))
-        logits = h @ self.C + self.c
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        cls = y // CLASS
-        out = logits[rows, cls] - np.log(total)
-        dh = None
-        if gradient is not None:
-            p /= total[:, None]
-            p[rows, cls] -= 1
-            gradient.C += h.T @ p
-            gradient.c += p.sum(axis=0)
-            dh = p @ self.C.T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[cut[k] : cut[k + 1]]
-            if not len(own):
-                continue
-            part, word = slice(k * CLASS, (k + 1) * CLASS), y[own] - k * CLASS
-            logits = h[own] @ self.D[part].T + self.d[part]
-            logits -= logits.max(axis=1, keepdims=True)
-            here = np.arange(len(own))
-            chosen = logits[here, word]
-            p = np.exp(logits, out=logits)
-            total = p.sum(axis=1)
-            out[own] += chosen - np.log(total)
-            if gradient is not None:
-                p /= total[:, None]
-                p[here, word] -= 1
-                gradient.D[part] += p.T @ h[own]
-                gradient.d[part] += p.sum(axis=0)
-                dh[own] += p @ self.D[part]
+    def output(self, h: np.ndarray, y: np.ndarray):
+        """Log-probability of each y after state h, and None."""
+        order, out = by_class(y), np.empty(len(y), h.dtype)
+        out[order] = self.words(np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)[order], y[order])[0]
+        return out, None
+
+    def words(self, h: np.ndarray, y: np.ndarray, gradient: "Model | None" = None):
+        """For rows in order of class, each a state and a one: as `output`; with a gradient also d(-sum)/dh and a row of zeros, and the gradient's C and D are set.
+
+        Each class is one slice of every array.  Rows of exponentials are never divided by their sums, the states are.
+        """
+        cls, train = y // CLASS, gradient is not None
+        cut = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+
+        def inside() -> np.ndarray:
+            q = np.empty((len(y), CLASS), h.dtype)
+            for k, own in spans:
+                np.matmul(h[own], self.D[k], out=q[own])
+            return q
+
+        out, p, p_total = _chosen(lambda: h @ self.C, cls, train)
+        more, q, q_total = _chosen(inside, y - cls * CLASS, train)
+        out += more
+        if not train:
+            return out, None
+        p_part, q_part = (1 / p_total)[:, None], (1 / q_total)[:, None]
+        np.matmul((h * p_part).T, p, out=gradient.C)
+        scaled, part, dh = h * q_part, np.empty((len(y), HIDDEN), h.dtype), np.zeros((len(y) + 1, HIDDEN), h.dtype)
+        gradient.D[np.diff(cut) == 0] = 0
+        for k, own in spans:
+            own_q = q[own]
+            np.matmul(scaled[own].T, own_q, out=gradient.D[k])
+            np.matmul(own_q, self.D[k, :-1].T, out=part[own])
+        part *= q_part
+        np.matmul(p, self.C[:-1].T, out=dh[:-1])
+        dh[:-1] *= p_part
+        dh[:-1] += part
         return out, dh
 
+    def forward(self, x: np.ndarray, live: np.ndarray, h: np.ndarray):
+        """A window (time, document) of steps from states h (unit, document).
+
+        Arrays are (time, unit, document), so that each gate is one block of memory: gates and the candidates' inputs,
+        recurrent parts, candidates; and before each word and after the last the state, a one, and the embedding read next.
+        """
+        kind, two, many = self.flat.dtype, 2 * HIDDEN, x.shape[1]
+        half = HALF.astype(kind)  # 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2
+        line = np.empty((len(x) + 1, 2 * HIDDEN + 1, many), kind)
+        line[0, :HIDDEN], line[:, HIDDEN] = h, 1
+        line[:-1, HIDDEN + 1 :] = np.take(self.E, x, axis=0).transpose(0, 2, 1)
+        a = np.ascontiguousarray((np.concatenate([self.b[None], self.W]) * half).T) @ line[:-1, HIDDEN:]
+        V = np.ascontiguousarray((self.V * half).T)
+        u, n, old = np.empty_like(a), np.empty((len(x), HIDDEN, many), kind), line[0, :HIDDEN]
+        for new, a_t, u_t, n_t, on, whole in zip(line[1:, :HIDDEN], a, u, n, live, live.all(axis=1).tolist()):
+            np.matmul(V, old, out=u_t)
+            gates = a_t[:two]
+            gates += u_t[:two]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[HIDDEN:], u_t[two:], out=n_t)
+            n_t += a_t[two:]
+            np.tanh(n_t, out=n_t)
+            np.subtract(old, n_t, out=new)
+            new *= gates[:HIDDEN]
+            new += n_t
+            if not whole:
+                np.copyto(new, old, where=~on)
+            old = new
+        return a, u, n, line
+
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
-        """One window (time, document) of training: loss, gradient, last state; backpropagation ends at its start."""
-        steps, before = [], []
-        for t in range(len(x)):
-            before.append(h)
-            new, z, r, n, u = self.step(self.E[x[t]] @ self.W + self.b, h)
-            steps.append((z, r, n, u))
-            h = np.where(live[t][:, None], new, h)
-        gradient = Model(np.zeros_like(self.flat))
-        states = np.stack([*before[1:], h])
-        at = np.flatnonzero(live.ravel())
-        got, dh = self.output(states.reshape(-1, HIDDEN)[at], y.ravel()[at], gradient)
-        d_states = np.zeros((live.size, HIDDEN), np.float32)
-        d_states[at] = dh
-        d_states, back = d_states.reshape(*live.shape, HIDDEN), np.zeros_like(h)
-        dx = np.empty((*x.shape, HIDDEN), np.float32)
+        """One window (time, document) of training: loss, gradient, last state; backpropagation ends at its start.
+
+        The gradient's memory is the model's own and taken again by the next window.
+        """
+        if self.gradient is None:
+            self.gradient = Model(np.empty_like(self.flat))
+        gradient, two, three = self.gradient, 2 * HIDDEN, 3 * HIDDEN
+        a, u, n, line = self.forward(x, live, h.T)
+        at, y = np.flatnonzero(live), y.ravel()
+        at = at[by_class(y[at])]
+        got, dh = self.words(np.take(rows(line), at, axis=0), y[at], gradient)
+        place = np.full(live.size, len(at))
+        place[at] = np.arange(len(at))
+        d_states = np.ascontiguousarray(np.take(dh, place, axis=0).reshape(*live.shape, HIDDEN).transpose(0, 2, 1))
+        z, r, rest = a[:, :HIDDEN], a[:, HIDDEN:two], 1 - a[:, :HIDDEN]
+        by_z, by_n, by_r = line[:-1, :HIDDEN] - n, n * n, 1 - r
+        by_z *= z
+        by_z *= rest
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest
+        by_r *= r
+        by_r *= u[:, two:]
+        if len(at) < live.size:
+            on = live[:, None]
+            by_z *= on
+            by_n *= on
+            z = np.where(on, z, z.dtype.type(1))
+        du, back = np.empty((len(x), 4 * HIDDEN, x.shape[1]), a.dtype), np.zeros((HIDDEN, x.shape[1]), a.dtype)
         for t in reversed(range(len(x))):
-            z, r, n, u = steps[t]
-            on = live[t][:, None]
-            d = d_states[t] + back
-            dz, dn = d * (before[t] - n) * z * (1 - z) * on, d * (1 - z) * (1 - n * n) * on
-            dr = dn * u[:, 2 * HIDDEN :] * r * (1 - r)
-            da, du = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
-            gradient.V += before[t].T @ du
-            gradient.W += self.E[x[t]].T @ da
-            gradient.b += da.sum(axis=0)
-            dx[t] = da @ self.W.T
-            back = np.where(on, d * z + du @ self.V.T, d)
-        np.add.at(gradient.E, x.ravel(), dx.reshape(-1, HIDDEN))
-        return -float(got.sum()), len(at), gradient, h
+            d, du_t = d_states[t], du[t]
+            dn = du_t[three:]
+            d += back
+            np.multiply(d, by_z[t], out=du_t[:HIDDEN])
+            np.multiply(d, by_n[t], out=dn)
+            np.multiply(dn, by_r[t], out=du_t[HIDDEN:two])
+            np.multiply(dn, r[t], out=du_t[two:three])
+            d *= z[t]
+            back = self.V @ du_t[:three]
+            back += d
+        da = du[:, :three].transpose(0, 2, 1)
+        gradient.V[...] = (line[:-1, :HIDDEN] @ da).sum(axis=0)
+        du[:, two:three] = du[:, three:]  # the candidate's whole input instead of its recurrent part
+        g = (line[:-1, HIDDEN:] @ da).sum(axis=0)
+        gradient.b[...], gradient.W[...] = g[0], g[1:]
+        gradient.E.fill(0)
+        _add_rows(gradient.E, x, da @ self.W.T)
+        return -float(got.sum()), len(at), gradient, line[-1, :HIDDEN].T
+
+
+def by_class(y: np.ndarray) -> np.ndarray:
+    return np.argsort((y // CLASS).astype(np.uint8), kind="stable")
+
+
+def rows(line: np.ndarray) -> np.ndarray:
+    """The states after each word, and a one, as a row for each time and document."""
+    return line[1:, : HIDDEN + 1].transpose(0, 2, 1).reshape(-1, HIDDEN + 1)
+
+
+def _chosen(make, chosen: np.ndarray, train: bool):
+    """Of rows of logits: log-probability of the chosen column of each; d(-log)/d(logits) times the sums of exponentials, for training only; these sums."""
+
+    def exponentials():
+        got = flat[at]
+        np.exp(logits, out=logits)
+        return got, logits @ np.ones(logits.shape[1], logits.dtype)
+
+    logits = make()
+    flat, at = logits.reshape(-1), np.arange(0, logits.size, logits.shape[1]) + chosen
+    with np.errstate(over="ignore", under="ignore"):
+        got, total = exponentials()
+    if len(total) and not 1e-30 < total.min() <= total.max() < 1e30:  # beyond the range of exponentials
+        logits[...] = make()
+        logits -= logits.max(axis=1, keepdims=True)
+        got, total = exponentials()
+    if train:
+        flat[at] -= total
+    got -= np.log(total)
+    return got, logits, total
+
+
+def _add_rows(table: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of values to the table's row of its id; numbers go in pairs, as complex ones."""
+    kind = np.complex64 if table.dtype == np.float32 else np.complex128
+    np.add.at(table.reshape(-1).view(kind), (ids.reshape(-1, 1) * (HIDDEN // 2) + np.arange(HIDDEN // 2)).ravel(), values.reshape(-1).view(kind))
 
 
 class Adam:
     def __init__(self, size: int, rate: float):
-        self.rate, self.n, self.m, self.v = rate, 0, np.zeros(size, np.float32), np.zeros(size, np.float32)
+        self.rate, self.n, self.most = rate, 0, 1
+        self.m, self.v, self.held = np.zeros(size, np.float32), np.zeros(size, np.float32), np.empty(PIECE, np.float32)
+
+    def step(self, model: Model, gradient: np.ndarray, words: int) -> None:
+        """One step down the gradient of so many words' loss, in pieces that stay in a core's cache; the gradient's memory is used up.
 
-    def step(self, model: Model, gradient: np.ndarray) -> None:
-        norm = float(np.linalg.norm(gradient))
-        if norm > 1:
-            gradient = gradient / norm
+        Its length goes by the words, as the last windows of the longest texts have few and would else undo what the full ones taught.
+        """
         self.n += 1
-        self.m += 0.1 * (gradient - self.m)
-        self.v += 0.01 * (gradient * gradient - self.v)
-        model.flat -= self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-6)
+        self.most = max(self.most, words)
+        scale = 0.1 / max(words, float(np.linalg.norm(gradient)))  # the mean's norm is at most 1
+        c = math.sqrt(1 - 0.99**self.n)
+        for k in range(0, len(gradient), PIECE):
+            g, m, v, w = (x[k : k + PIECE] for x in (gradient, self.m, self.v, model.flat))
+            held = self.held[: len(g)]
+            g *= scale
+            m *= 0.9
+            m += g
+            g *= g
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=held)
+            held += 1e-6 * c
+            np.divide(m, held, out=held)
+            held *= self.rate * words / self.most * c / (1 - 0.9**self.n)
+            w -= held
+
+
+def windows(parts, end: int, together: int, length: int = WINDOW):
+    """All windows of so many words of all texts of parts (ids, first): (texts, places kept, words before, words, live), arrays (time, place).
+
+    A text that ends leaves its place to one that waits, the longest of a part first, so windows are full until the texts
+    run out.  The texts of the places kept go on, in their order; those after them start.  Texts are numbered over all parts.
+    """
+    parts, more, none, step = iter(parts), True, np.zeros(0, np.int64), np.arange(length)[:, None]
+    ids, left, at, last, text = none, none, none, none, none
+    n, first, number, seen = none, none, none, 0  # of the texts that wait
+    while True:
+        kept = np.flatnonzero(left >= 0)
+        left, at, last, text = left[kept], at[kept], last[kept], text[kept]
+        while more and len(left) + len(n) < together:
+            part = next(parts, None)
+            more = part is not None
+            if more:  # what is left of the texts under way goes before it
+                held = [ids[a : a + k] for a, k in zip([*at.tolist(), *first.tolist()], [*left.tolist(), *n.tolist()])]
+                start = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
+                size = np.diff(part[1])
+                order = np.argsort(-size, kind="stable")
+                ids = np.concatenate([*held, part[0], [end]])
+                at, first = start[: len(at)], np.concatenate([start[len(at) : -1], start[-1] + part[1][:-1][order]])
+                n, number, seen = np.concatenate([n, size[order]]), np.concatenate([number, seen + order]), seen + len(size)
+        new = together - len(left)
+        left, at, text = np.concatenate([left, n[:new]]), np.concatenate([at, first[:new]]), np.concatenate([text, number[:new]])
+        if not len(left):
+            return
+        last = np.concatenate([last, np.full(len(left) - len(last), VOCABULARY)])
+        n, first, number = n[new:], first[new:], number[new:]
+        room = left - step
+        y = np.where(room > 0, ids[np.minimum(at + step, len(ids) - 1)], end)
+        yield text, kept, np.concatenate([last[None], y[:-1]]), y, room >= 0
+        left, at, last = left - length, at + length, y[-1]
+
+
+def carried(h: np.ndarray, kept: np.ndarray, places: int) -> np.ndarray:
+    """States (place, unit) for the next window: those kept, and zeros for texts that start."""
+    out = np.zeros((places, HIDDEN), np.float32)
+    out[: len(kept)] = h[kept]
+    return out
+
+
+def train_parts(model: Model, adam: Adam, parts, end: int) -> int:
+    """Trains on every window of each text and gives the number of words seen, ends included."""
+    h, seen = np.zeros((0, HIDDEN), np.float32), 0
+    for _, kept, x, y, live in windows(parts, end, BATCH):
+        _, words, gradient, h = model.window(x, y, live, carried(h, kept, x.shape[1]))
+        adam.step(model, gradient.flat, words)
+        seen += words
+    return seen
 
 
 def train_texts(model: Model, adam: Adam, ids: np.ndarray, first: np.ndarray, end: int) -> int:
-    """Trains on every window of each text and gives the number of words seen, ends included."""
-    n = np.diff(first)
-    windows = -(-(n + 1) // WINDOW)
-    order, seen = np.argsort(-windows, kind="stable"), 0
-    for a in range(0, len(order), BATCH):
-        docs = order[a : a + BATCH]
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        for k in range(int(windows[docs[0]])):
-            docs = docs[windows[docs] > k]
-            h = h[: len(docs)]
-            at = np.broadcast_to(k * WINDOW + np.arange(WINDOW)[:, None], (WINDOW, len(docs)))
-            live = at <= n[docs]
-            y = np.where(at < n[docs], ids[np.minimum(first[docs] + at, max(len(ids) - 1, 0))] if len(ids) else end, end)
-            x = np.where(at > 0, ids[np.clip(first[docs] + at - 1, 0, max(len(ids) - 1, 0))] if len(ids) else end, VOCABULARY)
-            _, words, gradient, h = model.window(x, y, live, h)
-            adam.step(model, gradient.flat / max(words, 1))
-            seen += words
-    return seen
+    return train_parts(model, adam, [(ids, first)], end)
 
 
 def _trainer(shared, round_: int, salts: int):
@@ -277,11 +435,14 @@ def _trainer(shared, round_: int, salts: int):
         salt = TaskContext.get().partitionId() % salts
         flat, voc = shared.value
         model = Model(flat.copy())
-        adam, seen = Adam(len(flat), 0.01 / (1 + round_)), 0
-        for batch in batches:
-            for piece in chunks(batch, 1, 12 << 20):
-                w = Words(piece.column(1))
-                seen += train_texts(model, adam, voc.encode(w.hashes), w.first, voc.end)
+
+        def parts():
+            for batch in batches:
+                for piece in chunks(batch, 1, 12 << 20):
+                    w = Words(piece.column(1))
+                    yield voc.encode(w.hashes), w.first
+
+        seen = train_parts(model, Adam(len(flat), 0.01 / (1 + round_)), parts(), voc.end)
         if seen:
             blocks = range(0, len(flat), BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array([model.flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary()), pa.array([salt] * len(blocks), pa.int64())], names=["block", "n", "w", "salt"])
@@ -310,34 +471,15 @@ def train(own: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
 
 
 def log_likelihoods(model: Model, voc: Vocabulary, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-probability of the ids of each whole text and its end, all texts in step, the state carried to the end."""
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    starts, ends = first[:-1][order], n[order]
-    inputs = model.E @ model.W + model.b
-    h, out = np.zeros((len(n), HIDDEN), np.float32), np.zeros(len(n))
-    last = np.full(len(n), VOCABULARY)
-    longest = int(ends[0]) + 1 if len(n) else 0
-    alive = np.searchsorted(-ends, -np.arange(longest), "right")  # texts with at least t words
-    states, words, rows, held = [], [], [], 0
-    for t in range(longest):
-        m = int(alive[t])
-        h[:m] = model.step(inputs[last[:m]], h[:m])[0]
-        y = np.full(m, voc.end)
-        on = int(alive[t + 1]) if t + 1 < longest else 0
-        y[:on] = ids[starts[:on] + t]
-        states.append(h[:m].copy())
-        words.append(y)
-        rows.append(m)
-        last[:m], held = y, held + m
-        if held >= 1 << 15 or t + 1 == longest:
-            y = np.concatenate(words)
-            got = model.output(np.concatenate(states), y)[0]
-            out += np.bincount(np.concatenate([np.arange(k) for k in rows]), got, len(out))
-            states, words, rows, held = [], [], [], 0
-    result = np.empty(len(n))
-    result[order] = out
-    return result
+    """Log-probability of the ids of each whole text and its end, the state carried to the end."""
+    h, out = np.zeros((0, HIDDEN), np.float32), np.zeros(len(first) - 1)
+    for text, kept, x, y, live in windows([(ids, first)], voc.end, TOGETHER, LENGTH):
+        line, y = model.forward(x, live, carried(h, kept, len(text)).T)[-1], y.ravel()
+        h, at = line[-1, :HIDDEN].T, np.flatnonzero(live)
+        at = at[by_class(y[at])]
+        got = model.words(np.take(rows(line), at, axis=0), y[at])[0]
+        out[text] += np.bincount(at % len(text), got, len(text))
+    return out
 
 
 def _scorer(shared, bits: int):
@@ -350,8 +492,8 @@ def _scorer(shared, bits: int):
         for batch in batches:
             for piece in chunks(batch, 1, 12 << 20):
                 w = Words(piece.column(1))
-                got = log_likelihoods(model, voc, voc.encode(w.hashes), w.first)
-                rest = np.flatnonzero(~voc.known(w.hashes))
+                own = voc.encode(w.hashes)
+                got, rest = log_likelihoods(model, voc, own, w.first), np.flatnonzero(voc.shared[own])
                 words, which = np.unique(w.hashes[rest], return_inverse=True)
                 doc = np.repeat(np.arange(piece.num_rows), np.diff(w.first))[rest]
                 pair, n = np.unique(doc * max(len(words), 1) + which, return_counts=True)

@@ -141,5 +141,78 @@ def test_every_word_of_every_text_trains_the_model():
     assert sorted(np.concatenate(given).tolist()) == sorted(expected.tolist())
 
 
+def plain_window(model, x, y, live, h):
+    """Loss of a window and last states, a step and an output at a time."""
+    loss = 0.0
+    for t in range(len(x)):
+        new = model.step(model.E[x[t]] @ model.W + model.b, h)[0]
+        h = np.where(live[t][:, None], new, h)
+        loss -= model.output(h[live[t]], y[t][live[t]])[0].sum()
+    return loss, h
+
+
+def test_a_window_s_loss_and_states_are_those_of_single_steps():
+    model, _ = rough(8)
+    rng = np.random.default_rng(9)
+    x, y, h = rng.integers(0, lm.VOCABULARY, (lm.WINDOW, 40)), rng.integers(0, lm.VOCABULARY, (lm.WINDOW, 40)), rng.normal(size=(40, lm.HIDDEN))
+    live = np.arange(lm.WINDOW)[:, None] <= rng.integers(0, lm.WINDOW, 40)
+    loss, _, _, last = model.window(x, y, live, h)
+    expected, states = plain_window(model, x, y, live, h)
+    assert abs(loss - expected) < 1e-9 * expected and np.allclose(last, states, atol=1e-12)
+
+
+def test_logits_beyond_the_range_of_exponentials():
+    model, _ = rough(10)
+    model = lm.Model((model.flat * 60).astype(np.float32))
+    h = np.full((1, lm.HIDDEN), 0.9, np.float32)
+    got = model.output(np.repeat(h, lm.VOCABULARY, axis=0), np.arange(lm.VOCABULARY))[0]
+    assert np.isfinite(got).all() and abs(np.exp(got.astype(float)).sum() - 1) < 1e-2
+
+
+def test_texts_that_end_leave_their_places(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 4)
+    voc, n = rough()[1], np.array([640, 20, 300, *[60] * 30])
+    first = np.concatenate([[0], np.cumsum(n)])
+    ids = np.random.default_rng(11).integers(0, 100, first[-1])
+    model = lm.Model.start(voc)
+    adam, sizes = lm.Adam(len(model.flat), 0.01), []
+    window = model.window
+    model.window = lambda x, y, live, h: (sizes.append(x.shape[1]), window(x, y, live, h))[1]
+    assert lm.train_texts(model, adam, ids, first, voc.end) == n.sum() + len(n)
+    assert sum(sizes) == (n // lm.WINDOW + 1).sum()  # all windows
+    assert len(sizes) <= -(-sum(sizes) // 4) + 3  # and nearly all of them full
+
+
+def test_words_of_all_parts_come_once_and_in_order():
+    rng = np.random.default_rng(12)
+    sizes = [rng.integers(0, 90, k) for k in (3, 0, 1, 40, 2, 25)]
+    sizes[2][:] = 700
+    texts_, parts = [], []
+    for n in sizes:
+        own = [rng.integers(0, 1000, k) for k in n]
+        parts.append((np.concatenate([np.zeros(0, np.int64), *own]), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)))
+        texts_ += own
+    seen = {k: [] for k in range(len(texts_))}
+    before = np.zeros(0, np.int64)
+    for text, kept, x, y, live in lm.windows(parts, -5, 8):
+        assert (text[: len(kept)] == before[kept]).all() and all(not seen[k] for k in text[len(kept) :])
+        for j, k in enumerate(text.tolist()):
+            assert x[live[:, j], j].tolist() == [seen[k][-1] if seen[k] else lm.VOCABULARY, *y[live[:, j], j][:-1]]
+            seen[k] += y[live[:, j], j].tolist()
+        before = text
+    assert all(seen[k] == [*t.tolist(), -5] for k, t in enumerate(texts_))
+
+
+def test_a_long_text_s_rest_does_not_undo_what_was_learnt():
+    rng, voc = np.random.default_rng(13), rough()[1]
+    n = np.array([24000, *[40] * 600])
+    first = np.concatenate([[0], np.cumsum(n)])
+    ids = np.where(np.arange(first[-1]) < n[0], rng.integers(50, 90, first[-1]), rng.integers(0, 10, first[-1]))
+    model = lm.Model.start(voc)
+    lm.train_texts(model, lm.Adam(len(model.flat), 0.01), ids, first, voc.end)
+    short = lm.log_likelihoods(model, voc, ids[n[0] :], first[1:] - n[0])
+    assert short.sum() / (n[1:] + 1).sum() > np.log(1 / 90)
+
+
 def test_empty_table(spark):
     assert lm.scores(cases.empty(spark)).collect() == []
