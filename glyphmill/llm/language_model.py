@@ -3,7 +3,8 @@
 Words are counted over the whole corpus.  The most frequent are the model's words; the
 others share slots by hash, and of a slot's probability each word has the share of its own
 count, so the probabilities of all words of the corpus and the end sum to one.  These counts stay a
-table that grows with the corpus; a chunk of texts asks it once for each of its words.  The output
+table that grows with the corpus; a chunk of texts asks it once for each of its words.  Texts become
+ids once, in a working table that the rounds and the scoring read.  The output
 softmax is factored: a class of 64 words first, then the word in its class.
 
 Every document trains the model on all of its windows in every round, by backpropagation
@@ -16,6 +17,7 @@ windows of a document, so a text counts from its first word to its end.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,10 @@ BLOCK = 8192
 TOGETHER = 128
 LENGTH = 64
 PIECE = 1 << 14
-HALF = np.repeat([0.5, 1], [2 * HIDDEN, HIDDEN])
 RANGE_BYTES = 8 << 20
-SCORED = "chunk long, bucket long, words binary, values binary, n binary, ids binary, missing binary, size binary, score binary"
-SCORED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("words", "values", "n", "ids", "missing", "size", "score")]])
+BLOBS = ("words", "values", "n", "ids", "missing", "size", "own", "score")
+CODED = ", ".join(["chunk long", "bucket long", *[f"{c} binary" for c in BLOBS]])
+CODED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in BLOBS]])
 
 
 class Vocabulary:
@@ -202,7 +204,7 @@ class Model:
         def inside() -> np.ndarray:
             q = np.empty((len(y), CLASS), h.dtype)
             for k, own in spans:
-                np.matmul(h[own], self.D[k], out=q[own])
+                np.dot(h[own], self.D[k], out=q[own])
             return q
 
         out, p, p_total = _chosen(lambda: h @ self.C, cls, train)
@@ -216,45 +218,47 @@ class Model:
         gradient.D[np.diff(cut) == 0] = 0
         for k, own in spans:
             own_q = q[own]
-            np.matmul(scaled[own].T, own_q, out=gradient.D[k])
-            np.matmul(own_q, self.D[k, :-1].T, out=part[own])
+            np.dot(scaled[own].T, own_q, out=gradient.D[k])
+            np.dot(own_q, self.D[k, :-1].T, out=part[own])
         part *= q_part
         np.matmul(p, self.C[:-1].T, out=dh[:-1])
         dh[:-1] *= p_part
         dh[:-1] += part
         return out, dh
 
-    def forward(self, x: np.ndarray, live: np.ndarray, h: np.ndarray):
+    def forward(self, x: np.ndarray, live: np.ndarray, h: np.ndarray, train: bool = True):
         """A window (time, document) of steps from states h (unit, document).
 
-        Arrays are (time, unit, document), so that each gate is one block of memory: gates and the candidates' inputs,
-        recurrent parts, candidates; and before each word and after the last the state, a one, and the embedding read next.
+        Arrays are (time, unit, document), so that each gate is one block of memory: the candidates' recurrent parts, both
+        gates as 1 + exp(-x), and the candidates' inputs; candidates; the part kept of the states less candidates; and before
+        each word and after the last the state, a one, and the embedding read next.  Without training the first three are
+        one step's memory, taken again by the next.
         """
-        kind, two, many = self.flat.dtype, 2 * HIDDEN, x.shape[1]
-        half = HALF.astype(kind)  # 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2
+        kind, two, many, kept = self.flat.dtype, 2 * HIDDEN, x.shape[1], len(x) if train else 1
         line = np.empty((len(x) + 1, 2 * HIDDEN + 1, many), kind)
         line[0, :HIDDEN], line[:, HIDDEN] = h, 1
         line[:-1, HIDDEN + 1 :] = np.take(self.E, x, axis=0).transpose(0, 2, 1)
-        a = np.ascontiguousarray((np.concatenate([self.b[None], self.W]) * half).T) @ line[:-1, HIDDEN:]
-        V = np.ascontiguousarray((self.V * half).T)
-        u, n, old = np.empty_like(a), np.empty((len(x), HIDDEN, many), kind), line[0, :HIDDEN]
-        for new, a_t, u_t, n_t, on, whole in zip(line[1:, :HIDDEN], a, u, n, live, live.all(axis=1).tolist()):
-            np.matmul(V, old, out=u_t)
-            gates = a_t[:two]
-            gates += u_t[:two]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            np.multiply(gates[HIDDEN:], u_t[two:], out=n_t)
-            n_t += a_t[two:]
-            np.tanh(n_t, out=n_t)
-            np.subtract(old, n_t, out=new)
-            new *= gates[:HIDDEN]
-            new += n_t
-            if not whole:
-                np.copyto(new, old, where=~on)
-            old = new
-        return a, u, n, line
+        gates, into = np.zeros((4 * HIDDEN, 2 * HIDDEN + 1), kind), np.concatenate([self.b[None], self.W]).T
+        gates[:HIDDEN, :HIDDEN] = self.V[:, two:].T
+        gates[HIDDEN : 3 * HIDDEN, :HIDDEN], gates[HIDDEN : 3 * HIDDEN, HIDDEN:] = -self.V[:, :two].T, -into[:two]
+        gates[3 * HIDDEN :, HIDDEN:] = into[two:]
+        a, n, parts, old = *(np.empty((kept, k * HIDDEN, many), kind) for k in (4, 1, 1)), line[0, :HIDDEN]
+        every = [(a_t, a_t[:HIDDEN], a_t[HIDDEN : 3 * HIDDEN], a_t[HIDDEN:two], a_t[two : 3 * HIDDEN], a_t[3 * HIDDEN :], n_t, part) for a_t, n_t, part in zip(a, n, parts)]
+        with np.errstate(over="ignore"):  # what is divided by infinity is rightly zero
+            for read, new, (a_t, u, both, z, r, c, n_t, part), on, whole in zip(line, line[1:, :HIDDEN], every if train else repeat(every[0]), live, live.all(axis=1).tolist()):
+                np.matmul(gates, read, out=a_t)
+                np.exp(both, out=both)
+                both += 1
+                np.divide(u, r, out=n_t)
+                n_t += c
+                np.tanh(n_t, out=n_t)
+                np.subtract(old, n_t, out=part)
+                part /= z
+                np.add(part, n_t, out=new)
+                if not whole:
+                    np.copyto(new, old, where=~on)
+                old = new
+        return a, n, parts, line
 
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
         """One window (time, document) of training: loss, gradient, last state; backpropagation ends at its start.
@@ -263,46 +267,43 @@ class Model:
         """
         if self.gradient is None:
             self.gradient = Model(np.empty_like(self.flat))
-        gradient, two, three = self.gradient, 2 * HIDDEN, 3 * HIDDEN
-        a, u, n, line = self.forward(x, live, h.T)
+        gradient, two, three, many = self.gradient, 2 * HIDDEN, 3 * HIDDEN, x.shape[1]
+        a, n, part, line = self.forward(x, live, h.T)
         at, y = np.flatnonzero(live), y.ravel()
         at = at[by_class(y[at])]
         got, dh = self.words(np.take(rows(line), at, axis=0), y[at], gradient)
         place = np.full(live.size, len(at))
         place[at] = np.arange(len(at))
         d_states = np.ascontiguousarray(np.take(dh, place, axis=0).reshape(*live.shape, HIDDEN).transpose(0, 2, 1))
-        z, r, rest = a[:, :HIDDEN], a[:, HIDDEN:two], 1 - a[:, :HIDDEN]
-        by_z, by_n, by_r = line[:-1, :HIDDEN] - n, n * n, 1 - r
-        by_z *= z
-        by_z *= rest
+        # by what d is multiplied for d(candidate's recurrent part), d(update), d(reset) and the state before
+        u, by_z, by_r, z = (a[:, k : k + HIDDEN] for k in range(0, 4 * HIDDEN, HIDDEN))
+        np.reciprocal(by_z, out=z)
+        r, rest, by_n = np.reciprocal(by_r), 1 - z, n * n
         np.subtract(1, by_n, out=by_n)
         by_n *= rest
-        by_r *= r
-        by_r *= u[:, two:]
+        np.multiply(part, rest, out=by_z)
+        np.subtract(1, r, out=by_r)
+        by_r *= u
+        np.multiply(by_n, r, out=u)
+        by_r *= u
         if len(at) < live.size:
             on = live[:, None]
-            by_z *= on
+            a[:, :three] *= on
             by_n *= on
-            z = np.where(on, z, z.dtype.type(1))
-        du, back = np.empty((len(x), 4 * HIDDEN, x.shape[1]), a.dtype), np.zeros((HIDDEN, x.shape[1]), a.dtype)
-        for t in reversed(range(len(x))):
-            d, du_t = d_states[t], du[t]
-            dn = du_t[three:]
-            d += back
-            np.multiply(d, by_z[t], out=du_t[:HIDDEN])
-            np.multiply(d, by_n[t], out=dn)
-            np.multiply(dn, by_r[t], out=du_t[HIDDEN:two])
-            np.multiply(dn, r[t], out=du_t[two:three])
-            d *= z[t]
-            back = self.V @ du_t[:three]
-            back += d
-        da = du[:, :three].transpose(0, 2, 1)
-        gradient.V[...] = (line[:-1, :HIDDEN] @ da).sum(axis=0)
-        du[:, two:three] = du[:, three:]  # the candidate's whole input instead of its recurrent part
-        g = (line[:-1, HIDDEN:] @ da).sum(axis=0)
-        gradient.b[...], gradient.W[...] = g[0], g[1:]
+            np.copyto(z, 1, where=~on)
+        V, back = np.concatenate([self.V[:, two:], self.V[:, :two], np.eye(HIDDEN, dtype=a.dtype)], axis=1), None
+        for d, du, by_gate in zip(d_states[::-1], a[::-1], a.reshape(len(x), 4, HIDDEN, many)[::-1]):
+            if back is not None:
+                d += back
+            by_gate *= d
+            back = V @ du
+        np.multiply(d_states, by_n, out=z)  # of the candidate's whole input, after that of its recurrent part
+        da = a.transpose(0, 2, 1)
+        g = (line[:-1] @ da).sum(axis=0)
+        gradient.V[:, :two], gradient.V[:, two:] = g[:HIDDEN, HIDDEN:three], g[:HIDDEN, :HIDDEN]
+        gradient.b[...], gradient.W[...] = g[HIDDEN, HIDDEN:], g[HIDDEN + 1 :, HIDDEN:]
         gradient.E.fill(0)
-        _add_rows(gradient.E, x, da @ self.W.T)
+        _add_rows(gradient.E, x, da[:, :, HIDDEN:] @ self.W.T)
         return -float(got.sum()), len(at), gradient, line[-1, :HIDDEN].T
 
 
@@ -429,20 +430,50 @@ def train_texts(model: Model, adam: Adam, ids: np.ndarray, first: np.ndarray, en
     return train_parts(model, adam, [(ids, first)], end)
 
 
+def _coder(shared, bits: int):
+    """For each chunk: its documents with the ids of their words and their words of no own id (bucket -1), and these words by ranges."""
+
+    def run(batches):
+        settle()
+        voc, at = shared.value, TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for piece in chunks(batch, 1, 12 << 20):
+                w = Words(piece.column(1))
+                own = voc.encode(w.hashes)
+                rest = np.flatnonzero(voc.shared[own])
+                words, which = np.unique(w.hashes[rest], return_inverse=True)
+                doc = np.repeat(np.arange(piece.num_rows), np.diff(w.first))[rest]
+                pair, n = np.unique(doc * max(len(words), 1) + which, return_counts=True)
+                doc, which = pair // max(len(words), 1), pair % max(len(words), 1)
+                ids = piece.column(0)
+                rows = [{"chunk": at, "bucket": -1, "words": doc.astype(np.uint32).tobytes(), "values": which.astype(np.uint32).tobytes(), "n": n.astype(np.uint32).tobytes(), "ids": ids.fill_null(0).to_numpy().tobytes(), "missing": ids.is_null().to_numpy(zero_copy_only=False).tobytes(), "size": np.diff(w.first).tobytes(), "own": own.astype(np.uint16).tobytes()}]
+                cut = np.searchsorted(words >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+                rows += [{"chunk": at, "bucket": b, "words": words[x:y].tobytes()} for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
+                yield pa.RecordBatch.from_pylist(rows, CODED_ARROW)
+                at += 1
+
+    return run
+
+
+def encoded(own: DataFrame, voc: Vocabulary, bits: int) -> DataFrame:
+    """The texts as ids, read by every round and by the scoring, so that texts are cut in words and looked up once."""
+    spark = own.sparkSession
+    return Scratch(spark).table(own.select("_id", "_text").mapInArrow(_coder(Shared(spark, voc), bits), CODED), "coded", records=10_000)
+
+
+def _ids(batch: pa.RecordBatch):
+    """(ids, first) of each chunk."""
+    for own, size in zip(batch["own"], batch["size"]):
+        yield np.frombuffer(own.as_buffer(), np.uint16).astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(size.as_buffer(), np.int64))])
+
+
 def _trainer(shared, round_: int, salts: int):
     def run(batches):
         settle()
         salt = TaskContext.get().partitionId() % salts
-        flat, voc = shared.value
+        flat, end = shared.value
         model = Model(flat.copy())
-
-        def parts():
-            for batch in batches:
-                for piece in chunks(batch, 1, 12 << 20):
-                    w = Words(piece.column(1))
-                    yield voc.encode(w.hashes), w.first
-
-        seen = train_parts(model, Adam(len(flat), 0.01 / (1 + round_)), parts(), voc.end)
+        seen = train_parts(model, Adam(len(flat), 0.01 / (1 + round_)), (part for batch in batches for part in _ids(batch)), end)
         if seen:
             blocks = range(0, len(flat), BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array([model.flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary()), pa.array([salt] * len(blocks), pa.int64())], names=["block", "n", "w", "salt"])
@@ -456,13 +487,14 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"block": [table["block"][0].as_py()], "n": [int(n.sum())], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(own: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
+def train(own: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, coded: DataFrame | None = None) -> Model:
     """Partitions' weights are averaged in two steps, so that no task gets more than the square root of their number."""
     flat, kind = Model.start(voc).flat, "block long, n long, w binary"
-    salts = max(1, math.isqrt(own.rdd.getNumPartitions()))
+    coded = (encoded(own, voc, 2) if coded is None else coded).filter("bucket = -1").select("own", "size")
+    salts = max(1, math.isqrt(coded.rdd.getNumPartitions()))
     for round_ in range(rounds):
-        shared = Shared(own.sparkSession, (flat, voc))
-        trained = own.select("_id", "_text").mapInArrow(_trainer(shared, round_, salts), f"{kind}, salt long")
+        shared = Shared(own.sparkSession, (flat, voc.end))
+        trained = coded.mapInArrow(_trainer(shared, round_, salts), f"{kind}, salt long")
         blocks = trained.groupBy("block", "salt").applyInArrow(_average, kind).groupBy("block").applyInArrow(_average, kind).collect()
         flat = flat.copy()
         for r in blocks:
@@ -474,7 +506,7 @@ def log_likelihoods(model: Model, voc: Vocabulary, ids: np.ndarray, first: np.nd
     """Log-probability of the ids of each whole text and its end, the state carried to the end."""
     h, out = np.zeros((0, HIDDEN), np.float32), np.zeros(len(first) - 1)
     for text, kept, x, y, live in windows([(ids, first)], voc.end, TOGETHER, LENGTH):
-        line, y = model.forward(x, live, carried(h, kept, len(text)).T)[-1], y.ravel()
+        line, y = model.forward(x, live, carried(h, kept, len(text)).T, train=False)[-1], y.ravel()
         h, at = line[-1, :HIDDEN].T, np.flatnonzero(live)
         at = at[by_class(y[at])]
         got = model.words(np.take(rows(line), at, axis=0), y[at])[0]
@@ -482,28 +514,16 @@ def log_likelihoods(model: Model, voc: Vocabulary, ids: np.ndarray, first: np.nd
     return out
 
 
-def _scorer(shared, bits: int):
-    """For each chunk: its documents with the log-likelihoods of their ids and their other words (bucket -1), and these words by ranges."""
+def _scorer(shared):
+    """For each chunk: the log-likelihoods of its documents' ids (bucket -2)."""
 
     def run(batches):
         settle()
         flat, voc = shared.value
-        model, at = Model(flat), TaskContext.get().partitionId() << 24
+        model = Model(flat)
         for batch in batches:
-            for piece in chunks(batch, 1, 12 << 20):
-                w = Words(piece.column(1))
-                own = voc.encode(w.hashes)
-                got, rest = log_likelihoods(model, voc, own, w.first), np.flatnonzero(voc.shared[own])
-                words, which = np.unique(w.hashes[rest], return_inverse=True)
-                doc = np.repeat(np.arange(piece.num_rows), np.diff(w.first))[rest]
-                pair, n = np.unique(doc * max(len(words), 1) + which, return_counts=True)
-                doc, which = pair // max(len(words), 1), pair % max(len(words), 1)
-                ids = piece.column(0)
-                rows = [{"chunk": at, "bucket": -1, "words": doc.astype(np.uint32).tobytes(), "values": which.astype(np.uint32).tobytes(), "n": n.astype(np.uint32).tobytes(), "ids": ids.fill_null(0).to_numpy().tobytes(), "missing": ids.is_null().to_numpy(zero_copy_only=False).tobytes(), "size": np.diff(w.first).tobytes(), "score": got.tobytes()}]
-                cut = np.searchsorted(words >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
-                rows += [{"chunk": at, "bucket": b, "words": words[x:y].tobytes()} for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x]
-                yield pa.RecordBatch.from_pylist(rows, SCORED_ARROW)
-                at += 1
+            for chunk, (ids, first) in zip(batch["chunk"].to_pylist(), _ids(batch)):
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "bucket": -2, "score": log_likelihoods(model, voc, ids, first).tobytes()}], CODED_ARROW)
 
     return run
 
@@ -519,7 +539,7 @@ def _answers(shared):
         for chunk, bucket, blob in zip(asked["chunk"].to_pylist(), asked["bucket"].to_pylist(), asked["words"].to_pylist()):
             own = np.frombuffer(blob, U)
             out.append({"chunk": chunk, "bucket": bucket, "values": voc.shares(own, n[np.searchsorted(words, own)]).astype(np.float32).tobytes()})
-        return pa.Table.from_pylist(out, SCORED_ARROW)
+        return pa.Table.from_pylist(out, CODED_ARROW)
 
     return run
 
@@ -527,9 +547,9 @@ def _answers(shared):
 def _finish(table: pa.Table) -> pa.Table:
     """Of one chunk: the documents' scores with the shares of their other words."""
     table = table.sort_by("bucket")
-    head, shares = table.slice(0, 1).to_pylist()[0], gather(table.slice(1)["values"].to_pylist(), np.float32)
+    head, shares = table.slice(1, 1).to_pylist()[0], gather(table.slice(2)["values"].to_pylist(), np.float32)
     doc, which, n = (np.frombuffer(head[c], np.uint32) for c in ("words", "values", "n"))
-    size, score = np.frombuffer(head["size"], np.int64), np.frombuffer(head["score"], np.float64)
+    size, score = np.frombuffer(head["size"], np.int64), np.frombuffer(table["score"][0].as_py(), np.float64)
     if len(doc):
         score = score + np.bincount(doc, shares[which].astype(np.float64) * n, len(score))
     return pa.table({"doc_id": pa.array(np.frombuffer(head["ids"], np.int64), mask=np.frombuffer(head["missing"], bool)), "n_words": size, "log_likelihood": score, "perplexity": np.exp(-score / (size + 1))})
@@ -544,9 +564,11 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_c
     """
     own, scratch = texts(docs, id_col, text_col), Scratch(docs.sparkSession)
     voc, counted, bits = vocabulary(own)
-    shared = Shared(docs.sparkSession, (train(own, voc, rounds).flat, voc))
-    scored = scratch.table(own.select("_id", "_text").mapInArrow(_scorer(shared, bits), SCORED), "scored")
+    coded = encoded(own, voc, bits)
+    shared = Shared(docs.sparkSession, (train(own, voc, rounds, coded).flat, voc))
+    heads = coded.filter("bucket = -1")
+    scored = scratch.table(heads.select("chunk", "own", "size").mapInArrow(_scorer(shared), CODED), "scored")
     ranges = counted.withColumn("bucket", F.shiftrightunsigned("word", 64 - bits))
-    answers = scored.filter("bucket >= 0").groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_answers(shared), SCORED)
-    every = scored.filter("bucket < 0").unionByName(answers)
+    answers = coded.filter("bucket >= 0").groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_answers(shared), CODED)
+    every = heads.withColumn("own", F.lit(None).cast("binary")).unionByName(scored).unionByName(answers)
     return every.groupBy("chunk").applyInArrow(_finish, "doc_id long, n_words long, log_likelihood double, perplexity double")

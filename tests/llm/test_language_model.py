@@ -214,5 +214,56 @@ def test_a_long_text_s_rest_does_not_undo_what_was_learnt():
     assert short.sum() / (n[1:] + 1).sum() > np.log(1 / 90)
 
 
+def counted_reads(spark, rows):
+    """The rows as a table that counts how often one of them is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    return cases.frame(spark, rows).select("doc_id", "text").mapInArrow(run, "doc_id long, text string"), reads
+
+
+def test_texts_are_read_once_for_all_rounds_and_the_scores(spark):
+    rows = cases.documents(long=400)
+    docs, reads = counted_reads(spark, rows)
+    assert len(lm.scores(docs, rounds=3).collect()) == len(rows)
+    assert reads.value <= 3 * len(rows)  # their bytes are summed, their words are counted, and they become ids
+
+
+def test_the_rounds_read_whole_texts_as_ids(spark, fitted):
+    own, voc, _, _ = fitted
+    coded = lm.encoded(own, voc, 3)
+    got = []
+    for r in coded.filter("bucket = -1").collect():
+        n = np.frombuffer(r.size, np.int64)
+        first = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(r.own, np.uint16).astype(np.int64)
+        assert first[-1] == len(ids)
+        got += [tuple(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+    expected = [tuple(voc.encode(lm.Words(lm.pa.array([t], lm.pa.string())).hashes).tolist()) for _, t in cases.documents()]
+    assert sorted(got) == sorted(expected)
+    none = own.filter("1 = 0")
+    given, made = lm.train(none, voc, 1, coded).flat, lm.train(own, voc, 1).flat
+    assert np.allclose(given, made, atol=1e-3) and not np.allclose(given, lm.Model.start(voc).flat, atol=1e-3)
+
+
+def test_gates_beyond_the_range_of_exponentials():
+    model, _ = rough(14)
+    model = lm.Model(model.flat.astype(np.float32))
+    model.V *= 500
+    model.W *= 500
+    rng = np.random.default_rng(15)
+    x, y, h = rng.integers(0, lm.VOCABULARY, (lm.WINDOW, 9)), rng.integers(0, lm.VOCABULARY, (lm.WINDOW, 9)), rng.normal(size=(9, lm.HIDDEN)).astype(np.float32)
+    live = np.arange(lm.WINDOW)[:, None] <= rng.integers(0, lm.WINDOW, 9)
+    with np.errstate(all="raise", under="ignore"):
+        loss, _, gradient, last = model.window(x, y, live, h)
+    with np.errstate(over="ignore"):
+        expected, states = plain_window(model, x, y, live, h)
+    assert abs(loss - expected) < 1e-3 * expected and np.allclose(last, states, atol=1e-3) and np.isfinite(gradient.flat).all()
+
+
 def test_empty_table(spark):
     assert lm.scores(cases.empty(spark)).collect() == []
