@@ -20,7 +20,7 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bpe_train(spark: SparkSession, source: str, target: str, vocab_size: int = 10_000) -> bpe.Vocabulary:
-    vocabulary = bpe.train(bpe.pretoken_counts(bpe.pretokens(corpus(spark, source))), vocab_size)
+    vocabulary = bpe.train(bpe.text_counts(corpus(spark, source)), vocab_size)
     store.save_vocabulary(vocabulary, target)
     return vocabulary
 
@@ -28,7 +28,7 @@ def bpe_train(spark: SparkSession, source: str, target: str, vocab_size: int = 1
 def train(spark: SparkSession, source: str, target: str, vocab: str | None = None, vocab_size: int = 50_000, dim: int = 100, window: int = 5, neg_samples: int = 5, lr: float = 0.025, epochs: int = 5, seed: int = 1, stop=lambda: False) -> dict:
     """Writes the model to `target` and its vocabulary, trained or given, beside it."""
     texts = corpus(spark, source)
-    vocabulary = store.load_vocabulary(vocab) if vocab else bpe.train(bpe.pretoken_counts(bpe.pretokens(texts)), vocab_size)
+    vocabulary = store.load_vocabulary(vocab) if vocab else bpe.train(bpe.text_counts(texts), vocab_size)
     store.save_vocabulary(vocabulary, f"{target}.vocab")
     tokens = skipgram.positions(bpe.encode_texts(texts, vocabulary))
     table = skipgram.negative_table(skipgram.unigram_counts(tokens, len(vocabulary)))

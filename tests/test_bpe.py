@@ -112,3 +112,31 @@ def test_files(spark, tmp_path):
     for bad in (b"XXXX" + data[4:], data[:4] + struct.pack("<I", 2) + data[8:], data[:-3], data[:30], b"", data[:16] + struct.pack("<I", 9 << 20) + data[20:]):
         with pytest.raises(store.FormatError):
             store.parse_vocabulary(bad)
+
+
+def test_merge_loop_in_parts_equals_the_slow_one(spark):
+    import random
+
+    rng = random.Random(5)
+    counts = {"".join(rng.choice("abcé你\U00020000\0") for _ in range(rng.randint(1, 12))): rng.randint(1, 9) for _ in range(300)} | {"a" * 30: 50, "abab" * 5: 40}
+    frame = spark.createDataFrame(list(counts.items()), "tok string, freq long")
+    v, slow = bpe.train(frame, 150, part_chars=700), slow_train(counts, 150)  # three or four tasks
+    assert (v.tokens, v.rules) == (slow.tokens, slow.rules)
+
+
+def test_merge_loop_takes_many_words_quickly():
+    import random
+    import time
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("etaoinshrdlucmfgypwb", range(20, 0, -1), k=rng.randint(4, 14))) for _ in range(150_000)})
+    began = time.process_time()
+    assert len(bpe.train_words(words, [1] * len(words), 1500)) == 1500
+    assert time.process_time() - began < 20
+
+
+def test_counts_of_raw_texts_are_those_of_normalised_ones(spark):
+    texts = ["  HELLO…… ‘x’ “Y”—z　a\u0085B ", "ÄÖ北京Ÿ don't‛s a–b", "Σ… Ñ\U00020000x\x00y", "", None, "a  b\tc\nD Á"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(bpe.text_counts(frame)) == rows(bpe.pretoken_counts(bpe.pretokens(frame)))
