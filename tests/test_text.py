@@ -76,3 +76,12 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "a b"), ("2024-01-01 00:02:00", "A"), ("2024-01-01 00:06:00", "a")], "t string, v string").withColumn("t", F.col("t").cast("timestamp"))
     got = {(r.window.start.minute, r.tok, r.freq) for r in windowed_pretoken_counts(rows, "t", "v").collect()}
     assert got == {(0, "a", 2), (0, "b", 1), (5, "a", 1)}
+
+
+def test_class_counts_are_those_of_plain_python(spark):
+    texts = ["a b\tc\u3000d", "漢字 ひらがな カタカナ 한글 \U00020000", "", None, "A-b! \u00a0", " "]
+    spans = {k: re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", v) + "]") for k, v in chars.CLASSES.items()}
+    each = {k: [len(p.findall(t)) for t in texts if t is not None] for k, p in spans.items()}
+    want = sorted((k, sum(n > 0 for n in v), sum(v)) for k, v in each.items())
+    assert sorted(map(tuple, text.class_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect())) == want
+    assert sorted(map(tuple, text.class_counts(spark.createDataFrame([], "text string")).collect())) == sorted((k, 0, 0) for k in chars.CLASSES)
