@@ -11,6 +11,7 @@ from ..scratch import Scratch, Shared
 
 MOST, LONGEST = 16, 0.5
 RANGE = 4096
+LANES, ROOM, NEAR = 32, 64 << 20, 1 << 23  # a task trains so many runs side by side, of models of so many bytes and of so many contexts
 MOVES = "side int, part int, ids binary, d binary"
 
 
@@ -85,15 +86,17 @@ def train(tokens: DataFrame, table: DataFrame, vocab_size: int, dim: int = 100,
     last = tokens.agg(F.max("pos")).first()[0]
     runs = min(runs, (last or 0) // block + 1)
     homes = F.array_distinct(F.array(F.greatest(F.floor((pos - window) / block), F.lit(0)), F.floor(pos / block), F.least(F.floor((pos + window) / block), F.lit((last or 0) // block))))
+    tasks = max(-(-runs // max(1, min(LANES, ROOM // (8 * vocab_size * dim), NEAR // (2 * window * block)))), min(runs, spark.sparkContext.defaultParallelism))
     placed = tokens.select("pos", "token_id", F.explode(homes).alias("block")).withColumn("run", F.col("block") % runs)
+    placed = placed.withColumn("lane", (F.col("run") % tasks).cast("int")).withColumn("turn", F.floor(F.col("block") / runs))
     placed = Scratch(spark).table(placed, "blocks")
     losses: list[float] = []
     for _ in range(epochs):
         if stop():
             break
         shared = Shared(spark, (w_in, w_out, slots))
-        ordered = placed.repartition(runs, "run").sortWithinPartitions("run", "block", "pos")
-        moves = ordered.select("run", "block", "pos", "token_id").mapInArrow(_epoch(shared, block, window, n_neg, rate), MOVES)
+        ordered = placed.repartitionById(tasks, "lane").sortWithinPartitions("lane", "turn", "run", "block", "pos")
+        moves = ordered.select("lane", "turn", "run", "block", "pos", "token_id").mapInArrow(_epoch(shared, block, window, n_neg, rate), MOVES)
         w_in, w_out, loss = w_in.copy(), w_out.copy(), 0.0
         for r in moves.groupBy("side", "part").applyInArrow(_average, MOVES).toLocalIterator():
             if r.side == 2:
@@ -110,41 +113,62 @@ def _moves(items: list[tuple]) -> pa.RecordBatch:
 
 
 def _epoch(shared, block: int, window: int, n_neg: int, rate: float):
-    """For each run: the moves of all rows that its pairs touch, by ranges of rows, and its loss as side 2."""
+    """For each run: the moves of all rows that its pairs touch, by ranges of rows, and its loss as side 2.
+
+    The runs of a lane train side by side, one block of each in a turn, on copies of the model that stand in a row.
+    """
 
     def run(batches):
-        now, held, model = (None, None), [], None
-
-        def train_block():
-            pos, ids = (np.concatenate(x) for x in zip(*held))
-            return _own_pass(*model, pos, ids, pos // block == now[1], shared.value[2], window, n_neg, rate)
-
-        def finish(loss):
-            out = [(2, 0, b"", np.array([loss], np.float32).tobytes())]
-            for side in (0, 1):
-                moved = np.flatnonzero((model[side] != shared.value[side]).any(axis=1)).astype(np.int32)
-                for x, n in zip(*(v.tolist() for v in _runs(moved // RANGE))):
-                    rows = moved[x : x + n]
-                    out.append((side, int(rows[0]) // RANGE, rows.tobytes(), (model[side][rows] - shared.value[side][rows]).tobytes()))
-            return _moves(out)
-
-        loss = 0.0
+        now, held, models, losses = (None, None), {}, None, {}
+
+        def train_turn():
+            own = [tuple(np.concatenate(x) for x in zip(*v)) for v in held.values()]
+            for r in held:
+                losses.setdefault(r, 0.0)
+            places = [places_of.setdefault(r, len(places_of)) for r in held]
+            grow()
+            found = _own_passes(*models, shared.value[0].shape[0], places, [(pos, ids, pos // block == pos_block) for (pos, ids), pos_block in zip(own, blocks.values())], shared.value[2], window, n_neg, rate)
+            for r, x in zip(held, found):
+                losses[r] += x
+
+        def grow():
+            nonlocal models
+            n = len(shared.value[0])
+            have = 0 if models is None else len(models[0]) // n
+            if len(places_of) > have:
+                more = [np.tile(w, (len(places_of) - have, 1)) for w in shared.value[:2]]
+                models = more if models is None else [np.concatenate(x) for x in zip(models, more)]
+
+        def finish():
+            n = len(shared.value[0])
+            for r, place in places_of.items():
+                model = [w[place * n : (place + 1) * n] for w in models]
+                out = [(2, 0, b"", np.array([losses[r]], np.float32).tobytes())]
+                for side in (0, 1):
+                    moved = np.flatnonzero((model[side] != shared.value[side]).any(axis=1)).astype(np.int32)
+                    for x, m in zip(*(v.tolist() for v in _runs(moved // RANGE))):
+                        rows = moved[x : x + m]
+                        out.append((side, int(rows[0]) // RANGE, rows.tobytes(), (model[side][rows] - shared.value[side][rows]).tobytes()))
+                yield _moves(out)
+
+        places_of, blocks = {}, {}
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(4)]
-            for x, n in zip(*(v.tolist() for v in _runs(columns[0], columns[1]))):
+            columns = [batch.column(k).to_numpy() for k in range(6)]
+            for x, n in zip(*(v.tolist() for v in _runs(*columns[:4]))):
                 key = (int(columns[0][x]), int(columns[1][x]))
                 if key != now:
                     if held:
-                        loss += train_block()
-                    if key[0] != now[0]:
-                        if model is not None:
-                            yield finish(loss)
-                        model, loss = [w.copy() for w in shared.value[:2]], 0.0
-                    now, held = key, []
-                held.append((columns[2][x : x + n], columns[3][x : x + n]))
+                        train_turn()
+                    if key[0] != now[0] and places_of:
+                        yield from finish()
+                        places_of, models, losses = {}, None, {}
+                    now, held, blocks = key, {}, {}
+                r = int(columns[2][x])
+                blocks[r] = int(columns[3][x])
+                held.setdefault(r, []).append((columns[4][x : x + n], columns[5][x : x + n]))
         if held:
-            loss += train_block()
-            yield finish(loss)
+            train_turn()
+            yield from finish()
 
     return run
 
@@ -179,55 +203,61 @@ def _average(part: pa.Table) -> pa.Table:
 
 
 def _own_pass(w_in, w_out, pos, ids, own, slots, window, n_neg, rate) -> float:
-    """All pairs of a run by small batches, and their summed loss; margins only serve as contexts.
+    """_own_passes of one run."""
+    return _own_passes(w_in, w_out, len(w_in), [0], [(pos, ids, own)], slots, window, n_neg, rate)[0]
+
+
+def _own_passes(w_in, w_out, n_rows, places, parts, slots, window, n_neg, rate) -> list[float]:
+    """All pairs of runs by small batches, one of each run at a time, and each run's summed loss; margins only serve as contexts.
 
+    w_in and w_out have the runs' models in a row, that of places[k] at places[k] * n_rows; parts: (pos, ids, own) of each run.
     A batch's pairs are scored with the same weights and their moves summed.  A row that a batch uses more than
     MOST times moves by that many average moves, and by at most LONGEST, as stale moves of a frequent token would
     carry it ever further.
     """
-    loss = 0.0
-    for a in range(0, len(pos), 1 << 13):
-        part = slice(max(0, a - window), min(len(pos), a + (1 << 13) + window))
-        centers = np.zeros(len(pos), bool)
-        centers[a : a + (1 << 13)] = own[a : a + (1 << 13)]
-        loss += _centered(w_in, w_out, pos[part], ids[part], centers[part], slots, window, n_neg, rate)
-    return loss
-
-
-def _centered(w_in, w_out, pos, ids, centers, slots, window, n_neg, rate) -> float:
-    loss, k, offsets = 0.0, np.arange(1, n_neg + 1), np.array([d for d in range(-window, window + 1) if d])
-    mine = np.flatnonzero(centers)
-    batch = min(64, max(8, len(w_in) // 16))  # of few tokens each would move too often within a batch
-    for a in range(0, len(mine), batch):
-        own = mine[a : a + batch]
-        want = pos[own][:, None] + offsets
-        at = np.minimum(np.searchsorted(pos, want), len(pos) - 1)
-        have = np.broadcast_to((pos[at] == want)[:, :, None], (*want.shape, 1 + n_neg)).reshape(len(own), -1)
-        picks = slots[(7 * (pos[own][:, None, None] + 1) + 13 * (want[:, :, None] + 1) + 17 * k) % len(slots)]
-        targets = np.concatenate([ids[at][:, :, None], picks], axis=2).reshape(len(own), -1)
-        x, t = w_in[ids[own]], w_out[targets]
+    k, offsets = np.arange(1, n_neg + 1), np.array([d for d in range(-window, window + 1) if d])
+    batch = min(64, max(8, n_rows // 16))  # of few tokens each would move too often within a batch
+    # batches never cross a chunk of 1 << 13 positions of their run
+    mine = [[np.flatnonzero(own[a : a + (1 << 13)]) + a for a in range(0, len(pos), 1 << 13)] for pos, _, own in parts]
+    steps = [[c[a : a + batch] for c in chunks for a in range(0, len(c), batch)] for chunks in mine]
+    before = np.cumsum([0, *(len(pos) for pos, _, _ in parts)])
+    everything = np.concatenate([pos for pos, _, _ in parts])
+    tokens = np.concatenate([ids.astype(np.int64) + p * n_rows for (_, ids, _), p in zip(parts, places)])
+    found = [np.searchsorted(pos, pos[:, None] + offsets) for pos, _, _ in parts]
+    near = np.concatenate([np.minimum(f, len(pos) - 1) + b for f, (pos, _, _), b in zip(found, parts, before)])
+    there = everything[near] == everything[:, None] + offsets
+    base = np.concatenate([np.full(len(pos), p * n_rows, np.int64) for (pos, _, _), p in zip(parts, places)])
+    of = np.concatenate([np.full(len(pos), x) for x, (pos, _, _) in enumerate(parts)])
+    loss = np.zeros(len(parts))
+    label = np.zeros(1 + n_neg, np.float32)
+    label[0] = 1
+    label = np.tile(label, len(offsets))
+    for s in range(max(map(len, steps), default=0)):
+        now = [x[s] + b for x, b in zip(steps, before) if s < len(x)]
+        own = np.concatenate(now)
+        want = everything[own][:, None] + offsets
+        have = np.repeat(there[own], 1 + n_neg, axis=1)
+        picks = slots[(7 * (everything[own][:, None, None] + 1) + 13 * (want[:, :, None] + 1) + 17 * k) % len(slots)] + base[own][:, None, None]
+        targets = np.concatenate([tokens[near[own]][:, :, None], picks], axis=2).reshape(len(own), -1)
+        centers = tokens[own]
+        x, t = w_in[centers], w_out[targets]
         p = sigmoid((t @ x[:, :, None])[:, :, 0])
-        label = np.zeros(1 + n_neg, np.float32)
-        label[0] = 1
-        label = np.tile(label, len(offsets))
-        loss -= float(np.log(np.maximum(np.where(label == 1, p, 1 - p), 1e-9))[have].sum())
+        lost = np.where(have, np.log(np.maximum(np.where(label == 1, p, 1 - p), 1e-9)), 0)
+        loss -= np.bincount(of[own], lost.sum(axis=1), len(parts))
         g = np.where(have, (label - p) * np.float32(rate), 0).astype(np.float32)
-        used, where = np.unique(targets, return_inverse=True)
-        cell = where.ravel() * len(own) + np.repeat(np.arange(len(own)), targets.shape[1])
-        sums = np.bincount(cell, g.ravel(), len(used) * len(own)).reshape(len(used), len(own)).astype(np.float32)
         move = (g[:, None, :] @ t)[:, 0]
-        uses = np.bincount(where.ravel(), have.ravel(), len(used))
-        w_out[used] += _bounded(sums @ x, uses)
-        _add_rows(w_in, ids[own], move)
-    return loss
+        _add_rows(w_out, targets.ravel(), (g[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1]), have.ravel())
+        _add_rows(w_in, centers, move)
+    return loss.tolist()
 
 
-def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """matrix[rows] += values with repeated rows summed, as far as _bounded lets them."""
+def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray, counted: np.ndarray | None = None) -> None:
+    """matrix[rows] += values with repeated rows summed, as far as _bounded lets them; counted: which of them are uses."""
     order = np.argsort(rows, kind="stable")
     rows, values = rows[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    matrix[rows[first]] += _bounded(np.add.reduceat(values, first, axis=0), np.diff(np.append(first, len(rows))))
+    uses = np.diff(np.append(first, len(rows))) if counted is None else np.add.reduceat(counted[order].astype(np.int64), first)
+    matrix[rows[first]] += _bounded(np.add.reduceat(values, first, axis=0), uses)
 
 
 def _bounded(moves: np.ndarray, uses: np.ndarray) -> np.ndarray:

@@ -197,3 +197,20 @@ def test_commands(spark, tmp_path, capsys):
     code, out = run("similar", "--model", model, "--word", "absent-word")
     assert code == 1 and "not in vocabulary" in out.err
     assert run("info", str(tmp_path / "none"))[0] == 1 and run("nonsense")[0] == 0 and run()[0] == 0
+
+
+def test_runs_side_by_side_move_as_each_alone():
+    rng, n = np.random.default_rng(4), 40
+    slots = rng.integers(0, n, 101).astype(np.int32)
+    parts = []
+    for r, size in enumerate((300, 1024, 77)):
+        pos = np.arange(max(0, r * 1024 - 2), r * 1024 + size)
+        parts.append((pos, rng.integers(0, n, len(pos)).astype(np.int32), pos // 1024 == r))
+    start = sgns.initial(n, 6)
+    together = [np.tile(w, (3, 1)) for w in start]
+    losses = sgns._own_passes(*together, n, [2, 0, 1], parts, slots, 2, 2, 0.05)
+    for place, part, loss in zip([2, 0, 1], parts, losses):
+        alone = [w.copy() for w in start]
+        assert sgns._own_pass(*alone, *part, slots, 2, 2, 0.05) == pytest.approx(loss)
+        for side in (0, 1):
+            assert np.allclose(together[side][place * n : (place + 1) * n], alone[side], atol=1e-5)
