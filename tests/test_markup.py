@@ -74,3 +74,19 @@ def test_articles(spark, tmp_path):
     assert [r.namespace for r in main] == [0, 0] * 3
     full = dumps.read_articles(spark, str(tmp_path / "dump.xml"), main_only=False, compat=False).collect()
     assert [(r.title.strip(), r.text) for r in full[:3]] == [("A & B", "first line\n   second y"), ("Split", "hidden"), ("C", "one")]
+
+
+def test_stripping_a_batch_keeps_few_texts_in_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from glyphmill.functions import wiki
+
+    texts = pa.array([None, *["'''a''' [[b|c]] " * 1000] * 1500], pa.string())
+    tracemalloc.start()
+    out = wiki._strip(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    assert out[0].as_py() is None and out[1500].as_py() == ("a c " * 1000).strip() and len(out) == 1501
