@@ -140,3 +140,13 @@ def test_counts_of_raw_texts_are_those_of_normalised_ones(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(bpe.text_counts(frame)) == rows(bpe.pretoken_counts(bpe.pretokens(frame)))
+
+
+def test_texts_are_encoded_as_they_stand(spark):
+    v = bpe.train_words(["hello", "'x'", ".", "-", '"'], [9, 2, 1, 1, 1], 20)
+    texts = ["HELLO… ‘X’—“hello”", "a ÄÖ…", None]
+    got = bpe.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), v)
+    assert "translate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    encode = bpe.Encoder(v).encode
+    words = [["hello", ".", ".", ".", "'x'", "-", '"', "hello", '"'], ["a", "äö", ".", ".", "."], []]
+    assert {r.doc_id: r.ids for r in got.collect()} == {k: [i for w in ws for i in encode(w)] for k, ws in enumerate(words)}
